@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from holdfast.llm import op1_minhash
+from holdfast.llm import op1_minhash, op2_classifier, op4_rules, op7_chat, op8_fingerprint
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash.query,
+    "op2_quality_classifier": op2_classifier.query,
+    "op4_quality_rules": op4_rules.query,
+    "op7_chat_formatting": op7_chat.query,
+    "op8_document_fingerprints": op8_fingerprint.query,
 }
 SQL = {
     "op1_minhash_near_dedup": op1_minhash.SQL,
+    "op4_quality_rules": op4_rules.SQL,
+    "op7_chat_formatting": op7_chat.SQL,
 }
