@@ -67,7 +67,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("in"), F.lit(False).alias("borrowed"))
     rows = docs.withColumn("to", F.explode(F.when(is_top, F.array(own, F.struct(to.alias("in"), F.lit(True).alias("borrowed")))).otherwise(F.array(own))))
     order = Window.partitionBy("to.in").orderBy("to.borrowed", F.col("k").desc(), F.xxhash64("text"), "text")
-    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("not to.borrowed").drop("to", "bucket", "k")
+    both = F.lead(F.struct("text", "sketch")).over(order)  # one window, so one shuffle
+    return rows.withColumn("next", both).where("not to.borrowed").select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
