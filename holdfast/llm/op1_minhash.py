@@ -83,6 +83,21 @@ def _confirm(percent: int):
     return confirm
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in passes(batches):
+        sets = shingle_sets(Words(texts, lower=True))
+        yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "h": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+
+def lone_shingles(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, lone): how many of a document's shingles no other document of `ids` has; 0 for ids with several texts."""
+    sets = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_listed, "id long, h array<long>")
+    each = sets.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    lone = each.where("k = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    many = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("texts"))
+    return many.join(lone, "id", "left").select("id", F.when(F.col("texts") == 1, F.coalesce("lone", F.lit(0))).otherwise(F.lit(0)).alias("lone"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of document ids, those whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -125,8 +140,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
     mixed = written(labelled.join(main, "bucket"))
-    rest, other = mixed.where("component != main"), mixed.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    more = rest.join(other, "bucket").where("component != component2").where(enough(F.col("n"), F.col("n2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    # |x and y| <= c = |x| less what no other set here has, so J <= c / (|x| + |y| - c): whoever can't reach it drops out.
+    mixed = mixed.join(lone_shingles(texts, mixed.select("id").distinct()), "id").withColumn("c", F.col("n") - F.col("lone"))
+    least_n = mixed.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    mixed = mixed.join(least_n, "bucket").where(100 * F.col("c") >= percent * (F.col("n") + F.greatest("least_n", "c") - F.col("c")))
+    mixed = written(mixed)
+    rest, other = mixed.where("component != main"), mixed.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("component").alias("component2"))
+    c = F.least("c", "c2")
+    more = rest.join(other, "bucket").where("component != component2").where(100 * c >= percent * (F.col("n") + F.col("n2") - c)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"))
     late = written(confirmed(more, texts, percent))
     if not late.isEmpty():
