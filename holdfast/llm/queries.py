@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.llm import op1_minhash, op2_classifier, op3_bpe, op4_rules, op5_secrets, op6_packing, op7_chat, op8_fingerprint, op9_lines
+from holdfast.llm import op1_minhash, op10_substrings, op2_classifier, op3_bpe, op4_rules, op5_secrets, op6_packing, op7_chat, op8_fingerprint, op9_lines
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat.query,
     "op8_document_fingerprints": op8_fingerprint.query,
     "op9_line_dedup": op9_lines.query,
+    "op10_substring_dedup": op10_substrings.query,
 }
 SQL = {
     "op1_minhash_near_dedup": op1_minhash.SQL,
