@@ -21,7 +21,7 @@ from holdfast.llm.common import passes, salted_join, table, written
 from holdfast.llm.components import components
 from holdfast.llm.textops import U, Words, shingle_sets
 
-M, T = 8, 3
+M, T = 10, 3
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _MUL = _RANDOM.integers(1, 2**63, (2 * M * T, 1), U) * U(2) + U(1)
 _ADD = _RANDOM.integers(0, 2**63, (2 * M * T, 1), U)
