@@ -1 +1 @@
-
+"""Where runs, snapshots and notes are kept."""
