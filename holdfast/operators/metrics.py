@@ -67,7 +67,7 @@ def recap(oof: DataFrame, final: DataFrame | None = None, y: str = "y", p: str =
     folds = scores(oof, y, p, ["fold"])
     aggs = []
     for m in ("mae", "r2", "rmse"):
-        aggs += [F.avg(m).alias(f"dev_{m}"), F.stddev_pop(m).alias(f"dev_{m}_std"), F.transform(F.sort_array(F.collect_list(F.struct("fold", m))), lambda x, m=m: x[m]).alias(f"dev_{m}_per_fold")]
+        aggs += [F.avg(m).alias(f"dev_{m}"), F.stddev_pop(m).alias(f"dev_{m}_std"), F.sort_array(F.collect_list(F.struct("fold", m))).getField(m).alias(f"dev_{m}_per_fold")]
     out = folds.agg(F.count("*").alias("k"), *aggs)
     if final is not None:
         held = scores(final, y, p).select(F.col("n").alias("sanctified_n"), *[F.col(m).alias(f"sanctified_{m}") for m in ("mae", "r2", "rmse")])
