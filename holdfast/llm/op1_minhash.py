@@ -27,7 +27,10 @@ _MUL = _RANDOM.integers(1, 2**63, (2 * M * T, 1), U) * U(2) + U(1)
 _ADD = _RANDOM.integers(0, 2**63, (2 * M * T, 1), U)
 PERCENT = 85
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, left array<long>, right array<long>"
+#: Words of a set's parity bitmap, and which column holds each.
+BITS = 8
+_BIT_COLUMNS = [f"b{i}" for i in range(BITS)]
+SKETCH = "doc_id long, n_shingles long, set_key binary, left array<long>, right array<long>, " + ", ".join(f"{c} long" for c in _BIT_COLUMNS)
 
 
 def sub_keys(shingles: np.ndarray) -> np.ndarray:
@@ -42,12 +45,19 @@ def sub_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """BITS words: bit k says whether an odd number of shingles fall on it. Two sets' bitmaps differ in |x ^ y| bits at most."""
+    odd = np.bincount((shingles % U(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch, texts in passes(batches):
         sets = shingle_sets(Words(texts, lower=True))
         keys = [sub_keys(s) if len(s) else None for s in sets]
+        bits = np.array([parity_bits(s) for s in sets]).reshape(-1, BITS)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -55,6 +65,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 "left": pa.array([None if k is None else k[:M] for k in keys], pa.list_(pa.int64())),
                 "right": pa.array([None if k is None else k[M:] for k in keys], pa.list_(pa.int64())),
+                **{c: pa.array(bits[:, i]) for i, c in enumerate(_BIT_COLUMNS)},
             }
         )
 
@@ -83,21 +94,6 @@ def _confirm(percent: int):
     return confirm
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in passes(batches):
-        sets = shingle_sets(Words(texts, lower=True))
-        yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "h": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-
-def lone_shingles(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (id, lone): how many of a document's shingles no other document of `ids` has; 0 for ids with several texts."""
-    sets = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_listed, "id long, h array<long>")
-    each = sets.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    lone = each.where("k = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    many = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("texts"))
-    return many.join(lone, "id", "left").select("id", F.when(F.col("texts") == 1, F.coalesce("lone", F.lit(0))).otherwise(F.lit(0)).alias("lone"))
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of document ids, those whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -121,7 +117,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(docs.mapInArrow(_sketch, SKETCH))
     live = sketches.where("set_key is not null and doc_id is not null")
-    reps = written(live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")))
+    reps = written(live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), *[F.first(c).alias(c) for c in _BIT_COLUMNS]))
     keys = F.array(*[F.xxhash64(F.lit(M * i + j), F.col("left")[i], F.col("right")[j]) for i in range(M) for j in range(M)])
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select(F.col("rep").alias("id"), F.col("n"), F.explode(keys).alias("bucket")).repartition(n_parts, "bucket")
@@ -139,15 +135,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = buckets.select("bucket", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
-    mixed = written(labelled.join(main, "bucket"))
-    # |x and y| <= c = |x| less what no other set here has, so J <= c / (|x| + |y| - c): whoever can't reach it drops out.
-    mixed = mixed.join(lone_shingles(texts, mixed.select("id").distinct()), "id").withColumn("c", F.col("n") - F.col("lone"))
-    least_n = mixed.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    mixed = mixed.join(least_n, "bucket").where(100 * F.col("c") >= percent * (F.col("n") + F.greatest("least_n", "c") - F.col("c")))
-    mixed = written(mixed)
-    rest, other = mixed.where("component != main"), mixed.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("component").alias("component2"))
-    c = F.least("c", "c2")
-    more = rest.join(other, "bucket").where("component != component2").where(100 * c >= percent * (F.col("n") + F.col("n2") - c)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    # |x ^ y| is at least the count of bits in which the bitmaps differ, so J >= p needs (100 + p) * bits <= (100 - p) * (|x| + |y|).
+    bits = reps.select(F.col("rep").alias("id"), *_BIT_COLUMNS)
+    mixed = written(labelled.join(main, "bucket").join(bits, "id"))
+    rest, other = mixed.where("component != main"), mixed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "component", *_BIT_COLUMNS)])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in _BIT_COLUMNS), F.lit(0))
+    near = (F.col("component") != F.col("component_2")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_2")))
+    more = rest.join(other, "bucket").where(near & enough(F.col("n"), F.col("n_2"))).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"))
     late = written(confirmed(more, texts, percent))
     if not late.isEmpty():
