@@ -166,42 +166,48 @@ class Field:
 
 
 def fit(examples: list[tuple[list[int], list[int], int]], rounds: int = 120, rate: float = 0.05, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all examples (classes, tags, file feature) at once."""
+    """Maximum likelihood by Adam over all examples (classes, tags, file feature) at once. Tokens stand by place, so that a step of
+    the forward and backward passes, scaled at each place, is one small product for all examples."""
     w = [np.zeros((N_CLASSES, 3)) for _ in range(4)] + [np.zeros((N_FILE, 3)), np.zeros((3, 3))]
     w[0][:, 0] = 0.5
     if not examples:
         return Field(*w)
-    wide = max(len(c) for c, _, _ in examples)
-    n = len(examples)
-    cls, tag, mask = np.full((n, wide + 3), _EDGE), np.zeros((n, wide), np.int64), np.zeros((n, wide), bool)
+    examples = sorted(examples, key=lambda x: -len(x[0]))  # at each place, the examples that reach it are the first ones
+    size = np.array([len(c) for c, _, _ in examples])
+    wide, n = size[0], len(examples)
+    many = [int((size > t).sum()) for t in range(wide)]
     file = np.array([f for _, _, f in examples])
+    cls, tag = np.full((n, wide + 3), _EDGE), np.zeros((n, wide), np.int64)
     for i, (c, y, _) in enumerate(examples):
-        cls[i, 2 : 2 + len(c)], tag[i, : len(y)], mask[i, : len(y)] = c, y, True
-    views = [cls[:, 2 : 2 + wide], cls[:, 1 : 1 + wide], cls[:, :wide], cls[:, 3:]]
-    hot = np.eye(3)
+        cls[i, 2 : 2 + len(c)], tag[i, : len(y)] = c, y
+    # By place, one place after another: the classes that each table of weights looks at, tags and file features.
+    flat = lambda x, shift: np.concatenate([x[: many[t], t + shift] for t in range(wide)])
+    views = [flat(cls, 2), flat(cls, 1), flat(cls, 0), flat(cls, 3), np.concatenate([file[:k] for k in many])]
+    hot = np.eye(3)[flat(tag, 0)]
+    at = np.concatenate(([0], np.cumsum(many)))
     real = np.zeros((3, 3))
-    both = mask[:, 1:] & mask[:, :-1]
-    np.add.at(real, (tag[:, :-1][both], tag[:, 1:][both]), 1)
+    for t in range(1, wide):
+        np.add.at(real, (tag[: many[t], t - 1], tag[: many[t], t]), 1)
     m1, m2 = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for r in range(1, rounds + 1):
-        e = sum(w[k][views[k]] for k in range(4)) + w[4][file][:, None]
-        move = w[5]
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        lse = lambda x, axis: x.max(axis=axis) + np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis))
-        for t in range(1, wide):
-            a[:, t] = np.where(mask[:, t, None], lse(a[:, t - 1, :, None] + move, 1) + e[:, t], a[:, t - 1])
-        for t in range(wide - 2, -1, -1):
-            b[:, t] = np.where(mask[:, t + 1, None], lse(move + (e[:, t + 1] + b[:, t + 1])[:, None], 2), 0.0)
-        z = lse(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None]) * mask[:, :, None]
-        d = p - hot[tag] * mask[:, :, None]
-        pair = np.exp(a[:, :-1, :, None] + move + (e[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None]) * both[:, :, None, None]
-        grads = []
-        for k in range(4):
-            grads.append(np.stack([np.bincount(views[k].ravel(), d[:, :, y].ravel(), N_CLASSES) for y in range(3)], 1) / n + l2 * w[k])
-        grads.append(np.stack([np.bincount(file, d[:, :, y].sum(axis=1), N_FILE) for y in range(3)], 1) / n + l2 * w[4])
-        grads.append((pair.sum(axis=(0, 1)) - real) / n + l2 * move)
+        e = sum(w[k][views[k]] for k in range(5))
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        move = np.exp(w[5])
+        a, b, low = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1))
+        for t in range(wide):
+            here, prior = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + many[t])
+            now = (a[prior] @ move) * e[here] if t else e[here]
+            low[here] = now.sum(axis=1, keepdims=True)
+            a[here] = now / low[here]
+        both = np.zeros((3, 3))
+        for t in range(wide - 1, 0, -1):
+            here, prior = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + many[t])
+            ahead = e[here] * b[here] / low[here]
+            b[prior] = ahead @ move.T
+            both += a[prior].T @ ahead
+        d = a * b - hot
+        grads = [np.stack([np.bincount(v, d[:, y], len(w[k])) for y in range(3)], 1) / n + l2 * w[k] for k, v in enumerate(views)]
+        grads.append((both * move - real) / n + l2 * w[5])
         for k, g in enumerate(grads):
             m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.99 * m2[k] + 0.01 * g * g
             w[k] = w[k] - rate * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.99**r)) + 1e-8)
