@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     words = F.transform(line_list(F.col("text")), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
     each = written(docs.where("text is not null").select(F.col("_key").alias("key"), F.xxhash64(F.lit(1), "text").alias("t2"), small.alias("l"), words.alias("w")))
     copies = each.groupBy(F.col("key.t").alias("t"), "t2").agg(F.min("key").alias("key"))
-    one = each.join(copies.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    # A table: a scan's exchange can be split where a document is the earlier one of very many.
+    one = written(each.join(copies.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     lines = one.select("key", F.explode("l").alias("h")).where("h != 0")
     pairs = overlaps(lines)
     a = one.select(F.col("key").alias("earlier"), F.col("l").alias("la"))
