@@ -207,7 +207,7 @@ def dedup_substrings(docs: DataFrame, keep_first: bool = False, with_text: bool
     placed = written(placed.withColumn("first", first))
     each = written(placed.groupBy("mark", "same").agg(F.count("*").alias("n"), F.min(F.struct("first", "k1", "k2", "lo", "hi")).alias("low"), F.max("inner").alias("inner")))
     sizes = each.groupBy("mark").agg(F.count("*").alias("members"), F.max("inner").alias("inner")).where("members > 1 or inner").drop("inner")
-    several = each.join(sizes, "mark")
+    several = salted_join(each, sizes, "mark", "same")
     wanted = several.groupBy(F.col("low.k1").alias("k1")).agg(F.collect_list(F.struct(F.col("low.k2").alias("k2"), "mark", "same", F.col("low.first").alias("first"), F.col("low.lo").alias("lo"), F.col("low.hi").alias("hi"))).alias("wanted"))
     bodies = written(texts.join(wanted.hint("merge"), "k1").select("k2", "text", "wanted").mapInArrow(_members, "mark long, same long, first string, bytes binary"))
     huge = sizes.where(F.col("members") > class_members).select("mark")
