@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +102,18 @@ def membership(folded: DataFrame, id_cols: Sequence[str], k: int) -> DataFrame:
     """Membership rows (fold, *ids, role) of rows with a column fold: each row is tested in its fold and trains in the others."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.when(F.col("fold") == i, "test").otherwise("train").alias("role")) for i in range(k)]))
     return folded.select(*id_cols, "fold").withColumn("m", each).select(F.col("m.f").alias("fold"), *id_cols, "m.role")
+
+
+class FoldData(NamedTuple):
+    fold: int
+    train: DataFrame
+    test: DataFrame
+    n_folds: int
+
+
+def iter_folds(members: DataFrame, n_folds: int | None = None) -> Iterator[FoldData]:
+    """The folds of membership rows (fold, role, ...), each as two DataFrames."""
+    numbers = range(n_folds) if n_folds is not None else sorted(r[0] for r in members.select("fold").distinct().collect())
+    for i in numbers:
+        train, test = (members.where((F.col("fold") == i) & (F.col("role") == role)).drop("fold", "role") for role in ("train", "test"))
+        yield FoldData(i, train, test, len(numbers))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import derive_seeds, digitize, hash_key, sigmoid
-from holdfast.operators import checks, dedup, metrics, preprocess, ridge, splits
+from holdfast.operators import checks, dedup, ensembles, metrics, preprocess, ridge, splits
 from holdfast.operators.holdout import SanctifiedDataset, ValidatedDataset, load_dataset
 from holdfast.operators.models import BinConfig, CascadeConfig, EnsembleModel, NLModel, RidgeModel, RoutedModel, StackedModel, build_cascade
 from holdfast.operators.nn import NetConfig, run_network, train_network
@@ -201,6 +201,40 @@ def test_network_matches_its_trainer(spark, planted):
     assert model.analyze()["n_params"] == 13
 
 
+def test_ensembles_without_models(planted):
+    cols = ["x1", "x2"]
+    nets, stats = ensembles.fit_ensemble(planted.repartition(3), cols, "y", ["id"], (3,), 20, [1, 2])
+    assert len(nets) == 2 and stats["x1"][1] > 0
+    got = [r["pred"] for r in ensembles.predict_ensemble(planted, cols, nets, stats).orderBy("id").collect()]
+    scaled = preprocess.normalize(planted, stats)
+    one = [[r["pred"] for r in ensembles.predict_nl(scaled, cols, n).orderBy("id").collect()] for n in nets]
+    assert got == pytest.approx(np.mean(one, axis=0))
+    again = ensembles.train_nl(scaled, cols, "y", ["id"], (3,), 20, 2)
+    assert all(np.allclose(a, b) for a, b in zip(again, nets[1]))
+    with pytest.raises(DataError):
+        ensembles.train_nl(planted.limit(0), cols, "y", ["id"], (3,), 5, 1)
+
+
+def test_iter_folds(spark):
+    members = splits.membership(splits.kfold(spark.range(13), ["id"], 3), ["id"], 3)
+    folds = list(splits.iter_folds(members))
+    assert [f.fold for f in folds] == [0, 1, 2] and folds[0].n_folds == 3
+    assert sorted(r["id"] for f in folds for r in f.test.collect()) == list(range(13))
+    assert all(f.train.join(f.test, "id").isEmpty() and f.train.count() + f.test.count() == 13 for f in folds)
+
+
+def test_public_names_and_example(spark, tmp_path, monkeypatch, capsys):
+    from examples import orders_walkthrough
+    from holdfast import api
+
+    assert {"ValidatedDataset", "iter_folds", "fit_ensemble", "Research", "HierarchicalRidge"} <= set(api.__all__)
+    monkeypatch.chdir(tmp_path)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        recaps = orders_walkthrough.main(["--quick", "--exp", "flat_ridge"])
+    assert recaps["flat_ridge"]["sanctified"]["n"] > 0 and "sanctified MAE" in capsys.readouterr().out
+
+
 def test_compound_models(planted):
     cols, ids = ["x1", "x2"], ["id"]
     one = EnsembleModel(RidgeModel(), 2).fit(planted, cols, "y", ids)
