@@ -58,12 +58,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     else:
         bucket = F.lit(-1)
     docs = docs.withColumn("bucket", bucket.cast("int")).withColumn("k", k)
-    tops = sorted(docs.groupBy("bucket").agg(F.max("k")).collect())
-    above = {b: tops[(i + 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}
-    # By bucket: its largest key, and the bucket to whose end its top rows go too.
-    spot = F.array_position(F.lit([b for b, _ in tops] or [0]), F.col("bucket")).cast("int") - 1
-    is_top = F.col("k") == F.get(F.lit([t for _, t in tops] or [0]), spot)
-    to = F.get(F.lit([above[b] for b, _ in tops] or [0]), spot)
+    # Of each bucket: its largest key, and the bucket to whose end its top rows go too: the next one up, for the last the first.
+    each = Window.orderBy("bucket")  # MOST_BUCKETS rows and a few more
+    tops = docs.groupBy("bucket").agg(F.max("k").alias("top"))
+    tops = tops.select("bucket", "top", F.coalesce(F.lead("bucket").over(each), F.first("bucket").over(each)).alias("below"))
+    docs = docs.join(F.broadcast(tops), "bucket")
+    is_top, to = F.col("k") == F.col("top"), F.col("below")
     own = F.struct(F.col("bucket").alias("in"), F.lit(False).alias("borrowed"))
     rows = docs.withColumn("to", F.explode(F.when(is_top, F.array(own, F.struct(to.alias("in"), F.lit(True).alias("borrowed")))).otherwise(F.array(own))))
     order = Window.partitionBy("to.in").orderBy("to.borrowed", F.col("k").desc(), F.xxhash64("text"), "text")
