@@ -10,7 +10,7 @@ from holdfast.operators.metrics import bracket_mae, bracket_scores, recap, score
 from holdfast.operators.models import BinConfig, CascadeConfig, EnsembleModel, Model, NLModel, RidgeModel, RoutedModel, StackedModel, build_cascade
 from holdfast.operators.nn import NetConfig
 from holdfast.operators.preprocess import compute_norm_stats, fold_impute, fold_normalize, fold_safe_preprocess, normalize, out_of_fold_moments
-from holdfast.operators.ranks import hash_ranked, ordered, quantiles
+from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles
 from holdfast.operators.ridge import HierarchicalRidge, ridge_predict, ridge_solve
 from holdfast.operators.splits import FoldData, contiguous_folds, expanding_window, grouped_kfold, iter_folds, kfold, membership, sanctified, temporal_split, train_test
 from holdfast.plans.experiment import Experiment, Fold, RunResult, print_brackets, print_comparison, print_recap

@@ -62,23 +62,24 @@ class SanctifiedResult:
 class SanctifiedDataset:
     """Rows split into dev, which is open, and a holdout that one final_evaluate() may read.
 
-    The assignment is a column over a hash order, so no recomputation changes it. ledger: a path to a JSON file on the
+    The assignment is a column over a hash order (or, with compat_rng, over numpy's permutation of rows in id order), so no
+    recomputation changes it. ledger: a path to a JSON file on the
     driver in which consumed splits are noted, so that another process can't evaluate the same holdout again.
     """
 
-    def __init__(self, data: ValidatedDataset | tuple[DataFrame, DatasetSpec], fraction: float = 0.15, seed: int = 42, stratify: bool = True, groups: bool = False, temporal: bool = False, temporal_gap: int = 0, skip_validation: bool = False, ledger: str | None = None):
+    def __init__(self, data: ValidatedDataset | tuple[DataFrame, DatasetSpec], fraction: float = 0.15, seed: int = 42, stratify: bool = True, groups: bool = False, temporal: bool = False, temporal_gap: int = 0, skip_validation: bool = False, ledger: str | None = None, compat_rng: bool = False):
         if not isinstance(data, ValidatedDataset):
             df, spec = data
             data = ValidatedDataset(_SENTINEL, df.select(*spec.columns), spec) if skip_validation else ValidatedDataset.validate(df, spec)
         df, self.spec = data.df, data.spec
-        self.temporal, self.temporal_gap = temporal, temporal_gap
+        self.temporal, self.temporal_gap, self.compat_rng = temporal, temporal_gap, compat_rng
         order = [*([self.spec.time] if self.spec.time else []), *self.spec.id_cols]
         if temporal:
             rows = splits.temporal_split(df, order, fraction)
         elif groups:
-            rows = splits.sanctified(df, self.spec.id_cols, fraction, seed, group=self.spec.group)
+            rows = splits.sanctified(df, self.spec.id_cols, fraction, seed, group=self.spec.group, compat_rng=compat_rng)
         else:
-            rows = splits.sanctified(df, self.spec.id_cols, fraction, seed, stratify=self.spec.target if stratify else None)
+            rows = splits.sanctified(df, self.spec.id_cols, fraction, seed, stratify=self.spec.target if stratify else None, compat_rng=compat_rng)
         rows = rows.persist()
         self.dev = rows.where("split = 'dev'").drop("split")
         self._held = rows.where("split = 'sanctified'").drop("split")
@@ -115,9 +116,9 @@ class SanctifiedDataset:
             label = {"groups": self.spec.group, "source": self.spec.source}.get(group_by)
             if label is None:
                 raise ValueError(f"no column for group_by={group_by!r}")
-            folded = splits.grouped_kfold(self.dev, label, k, seed)
+            folded = splits.grouped_kfold(self.dev, label, k, seed, self.compat_rng)
         else:
-            folded = splits.kfold(self.dev, self.spec.id_cols, k, seed)
+            folded = splits.kfold(self.dev, self.spec.id_cols, k, seed, self.compat_rng)
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.when(F.col("fold") == i, "test").otherwise("train").alias("role")) for i in range(k)]))
         return folded.withColumn("m", each).select(F.col("m.f").alias("fold"), "m.role", *cols), list(range(k))
 
@@ -160,4 +161,4 @@ def load_dataset(df: DataFrame, spec: DatasetSpec, config: ExperimentConfig, led
 
     rows = apply_dedup(df.select(*spec.columns), spec, config.dedup)
     data = ValidatedDataset.validate(rows, spec)
-    return SanctifiedDataset(data, config.sanctified_fraction, config.seed, config.stratify, config.group_by == "groups", config.temporal, config.temporal_gap, ledger=ledger)
+    return SanctifiedDataset(data, config.sanctified_fraction, config.seed, config.stratify, config.group_by == "groups", config.temporal, config.temporal_gap, ledger=ledger, compat_rng=config.compat_rng)

@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import hash_key
+from holdfast.spec import DataError
 
 #: Hex digits that make a bucket of a hash order; quantiles that cut any other order.
 HEX, QUANTILES = 3, 256
+#: Rows that permuted() takes at most: its permutation is drawn on the driver.
+PERMUTED_ROWS = 10_000_000
 
 
 def _numbered(df: DataFrame, bucket: Column, order: list[Column], name: str, within: Sequence[str]) -> DataFrame:
@@ -51,6 +56,27 @@ def ordered(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFram
     return _numbered(rows, bucket, [F.col(c) for c in order], name, ()).drop("_x")
 
 
+def permuted(df: DataFrame, order: Sequence[str], seed: int, name: str = "rank", within: str | None = None, sort: str | None = None) -> DataFrame:
+    """Add the place that numpy's RandomState(seed).permutation gives each row, rows numbered in the given order. within: a column
+    of few values, each permuted on its own by one generator, in the order of their smallest `sort`.
+
+    For results that must equal those of a Mersenne Twister; hash_ranked() has no bound on rows.
+    """
+    parts = df.groupBy(within).agg(F.count("*").alias("n"), F.min(sort).alias("s")).orderBy("s").collect() if within else [{"n": df.count()}]
+    if sum(p["n"] for p in parts) > PERMUTED_ROWS:
+        raise DataError(f"a permutation takes {PERMUTED_ROWS} rows at most")
+    draw = np.random.RandomState(seed)
+    places = [np.argsort(draw.permutation(p["n"])) for p in parts]
+    sizes = [len(p) for p in places]
+    table = {"_pos": np.concatenate([np.arange(n) for n in sizes]), name: np.concatenate(places)}
+    if within:
+        table |= {"_part": np.repeat([str(p[within]) for p in parts], sizes)}
+    numbered = df.withColumn("_part", F.coalesce(F.col(within).cast("string"), F.lit("None")) if within else F.lit(""))
+    numbered = numbered.withColumn("_pos", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).cast("long"))
+    found = df.sparkSession.createDataFrame(pa.table({c: pa.array(v) for c, v in table.items()}))
+    return numbered.join(found, ["_part", "_pos"] if within else "_pos").select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation, over rows that are neither null nor NaN; [] without any."""
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")

@@ -1,4 +1,8 @@
-"""Splits as tables. The shuffle behind them is the hash order of the ids, so no partitioning changes an assignment."""
+"""Splits as tables. The shuffle behind them is the hash order of the ids, so no partitioning changes an assignment.
+
+With compat_rng, it is the permutation of numpy's RandomState over rows (or sorted groups) in id order, for a bounded number of
+rows.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import digitize
-from holdfast.operators.ranks import hash_ranked, ordered, quantiles
+from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles
 from holdfast.spec import DataError
 
 
@@ -20,15 +24,19 @@ def _slices(n: int, k: int):
     return F.least(F.floor(F.col("rank") / F.lit(n // k)), F.lit(k - 1)).cast("int")
 
 
-def kfold(df: DataFrame, id_cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+def _shuffled(df: DataFrame, id_cols: Sequence[str], seed: int, compat_rng: bool) -> DataFrame:
+    return permuted(df, id_cols, seed) if compat_rng else hash_ranked(df, id_cols, seed)
+
+
+def kfold(df: DataFrame, id_cols: Sequence[str], k: int = 5, seed: int = 42, compat_rng: bool = False) -> DataFrame:
     """The rows with a column fold, of n // k rows each; the last fold takes the remainder."""
-    return hash_ranked(df, id_cols, seed).withColumn("fold", _slices(df.count(), k)).drop("rank")
+    return _shuffled(df, id_cols, seed, compat_rng).withColumn("fold", _slices(df.count(), k)).drop("rank")
 
 
-def grouped_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+def grouped_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, compat_rng: bool = False) -> DataFrame:
     """The rows with a column fold that is one for a whole group; folds balance groups, not rows. A null group is a group."""
     groups = df.select(F.col(group).alias("_g")).distinct()
-    folds = hash_ranked(groups, ["_g"], seed).withColumn("fold", _slices(groups.count(), k)).drop("rank")
+    folds = _shuffled(groups, ["_g"], seed, compat_rng).withColumn("fold", _slices(groups.count(), k)).drop("rank")
     return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
@@ -37,10 +45,10 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 5) -> DataFra
     return ordered(df, order).withColumn("fold", _slices(df.count(), k)).drop("rank")
 
 
-def train_test(df: DataFrame, id_cols: Sequence[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """The rows with a column role: the first floor((1 - f) * n) in hash order train."""
+def train_test(df: DataFrame, id_cols: Sequence[str], test_fraction: float = 0.2, seed: int = 42, compat_rng: bool = False) -> DataFrame:
+    """The rows with a column role: the first floor((1 - f) * n) in shuffled order train."""
     cut = int((1 - test_fraction) * df.count())
-    return hash_ranked(df, id_cols, seed).withColumn("role", F.when(F.col("rank") < cut, "train").otherwise("test")).drop("rank")
+    return _shuffled(df, id_cols, seed, compat_rng).withColumn("role", F.when(F.col("rank") < cut, "train").otherwise("test")).drop("rank")
 
 
 def temporal_split(df: DataFrame, order: Sequence[str], fraction: float = 0.15) -> DataFrame:
@@ -76,7 +84,7 @@ def strata(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("stratum", (digitize(F.col(y), edges) - 1).cast("string"))
 
 
-def sanctified(df: DataFrame, id_cols: Sequence[str], fraction: float = 0.15, seed: int = 42, stratify: str | None = None, group: str | None = None) -> DataFrame:
+def sanctified(df: DataFrame, id_cols: Sequence[str], fraction: float = 0.15, seed: int = 42, stratify: str | None = None, group: str | None = None, compat_rng: bool = False) -> DataFrame:
     """The rows with a column split, dev or sanctified: max(1, floor(n * f)) rows, or of whole groups, or in each stratum of
     several rows (a single row stays in dev)."""
     if group is not None:
@@ -84,18 +92,19 @@ def sanctified(df: DataFrame, id_cols: Sequence[str], fraction: float = 0.15, se
         n = groups.count()
         if n < 2:
             raise DataError("a grouped holdout needs two groups")
-        held = hash_ranked(groups, ["_g"], seed).where(F.col("rank") < max(1, int(n * fraction))).select("_g", F.lit(True).alias("_held"))
+        held = _shuffled(groups, ["_g"], seed, compat_rng).where(F.col("rank") < max(1, int(n * fraction))).select("_g", F.lit(True).alias("_held"))
         return df.join(held, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("split", F.when(F.col("_held"), "sanctified").otherwise("dev")).drop("_g", "_held")
     if stratify is not None:
         rows = strata(df, stratify)
         sizes = rows.groupBy("stratum").agg(F.count("*").alias("_m"))
-        out = hash_ranked(rows, id_cols, seed, within=["stratum"]).join(sizes.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s")
+        ranked = permuted(rows, id_cols, seed, within="stratum", sort=stratify) if compat_rng else hash_ranked(rows, id_cols, seed, within=["stratum"])
+        out = ranked.join(sizes.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s")
         held = (F.col("_m") > 1) & (F.col("rank") < F.greatest(F.lit(1), F.floor(F.col("_m") * F.lit(float(fraction)))))
         return out.withColumn("split", F.when(held, "sanctified").otherwise("dev")).drop("rank", "_m", "stratum")
     n = df.count()
     if n < 2:
         raise DataError("a holdout needs two rows")
-    return hash_ranked(df, id_cols, seed).withColumn("split", F.when(F.col("rank") < max(1, math.floor(n * fraction)), "sanctified").otherwise("dev")).drop("rank")
+    return _shuffled(df, id_cols, seed, compat_rng).withColumn("split", F.when(F.col("rank") < max(1, math.floor(n * fraction)), "sanctified").otherwise("dev")).drop("rank")
 
 
 def membership(folded: DataFrame, id_cols: Sequence[str], k: int) -> DataFrame:

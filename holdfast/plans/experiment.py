@@ -95,7 +95,7 @@ class Experiment:
         """One fold: a random part of the open rows."""
         if self._held is not None:
             raise HoldoutError("no folds after final_evaluate()")
-        rows = splits.train_test(self.data.dev, self.spec.id_cols, fraction or self.config.holdout_fraction, self.config.seed).persist()
+        rows = splits.train_test(self.data.dev, self.spec.id_cols, fraction or self.config.holdout_fraction, self.config.seed, self.data.compat_rng).persist()
         self._folds = [Fold(self, 0, 1, rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role"))]
         return self._folds[0]
 
@@ -171,9 +171,15 @@ class Experiment:
 
 def print_recap(recap: dict) -> None:
     say = lambda x: "-" if x is None else f"{x:.4f}"
+    d, held, gaps = recap["data"], recap["sanctified"], recap["comparison"]
+    print(f"{d['n_samples']} rows of {d['n_features']} features: {d['n_dev']} dev ({'one holdout' if d['k'] == 1 else f'{d["k"]} folds'}), {d['n_sanctified']} sanctified")
+    for b in d["target_distribution"] or []:
+        print(f"  target {b['name']}: n {b['n']} ({b['frac']:.1%}) mean {say(b['mean'])} std {say(b['std'])}")
     for m, v in recap["dev"].items():
-        held = recap["sanctified"] and recap["sanctified"][m]
-        print(f"{m:5} dev {say(v['mean'])} +- {say(v['std'])}   sanctified {say(held)}")
+        print(f"{m:5} dev {say(v['mean'])} +- {say(v['std'])}   sanctified {say(held and held[m])}")
+    print("  mae by fold:", " ".join(say(x) for x in recap["dev"]["mae"]["per_fold"]))
+    if gaps:
+        print(f"  dev less sanctified: mae {say(gaps['mae_gap'])} ({'worse' if (gaps['mae_gap'] or 0) > 0 else 'better'} on dev), r2 {say(gaps['r2_gap'])}")
     for side, rows in (recap["brackets"] or {}).items():
         for b in rows or []:
             print(f"  {side} {b['name']}: n {b['n']} mae {say(b['mae'])} r2 {say(b['r2'])}")

@@ -51,6 +51,7 @@ class ExperimentConfig:
     temporal: bool = False
     temporal_gap: int = 0
     brackets: tuple | None = None
+    compat_rng: bool = False
 
 
 @dataclass

@@ -11,7 +11,7 @@ from holdfast.operators import checks, dedup, ensembles, metrics, preprocess, ri
 from holdfast.operators.holdout import SanctifiedDataset, ValidatedDataset, load_dataset
 from holdfast.operators.models import BinConfig, CascadeConfig, EnsembleModel, NLModel, RidgeModel, RoutedModel, StackedModel, build_cascade
 from holdfast.operators.nn import NetConfig, run_network, train_network
-from holdfast.operators.ranks import hash_ranked, ordered, quantiles
+from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles
 from holdfast.plans.experiment import Experiment
 from holdfast.plans.pipeline import Pipeline, Step, register_step_type
 from holdfast.plans.research import Research
@@ -131,6 +131,22 @@ def test_holdouts(spark):
         splits.sanctified(spark.range(5).withColumn("g", F.lit(1)), ["id"], 0.2, group="g")
 
 
+def test_mersenne_twister_order(spark):
+    order = lambda df: [r[0] for r in df.orderBy("rank").collect()]
+    assert order(permuted(spark.range(10).repartition(3), ["id"], 42)) == [8, 1, 5, 0, 7, 2, 9, 4, 3, 6]
+    assert order(permuted(spark.range(13), ["id"], 42)) == [11, 9, 0, 8, 5, 2, 1, 12, 4, 7, 10, 3, 6]
+    letters = spark.createDataFrame([(i, "abcdefg"[i % 7]) for i in range(21)], "id long, g string")
+    folds = {r["g"]: r["fold"] for r in splits.grouped_kfold(letters, "g", 3, compat_rng=True).collect()}
+    assert folds == {"a": 0, "b": 0, "f": 1, "c": 1, "e": 2, "d": 2, "g": 2}
+    held = lambda df: sorted(r["id"] for r in df.where("split = 'sanctified'").collect())
+    assert held(splits.sanctified(spark.range(20), ["id"], 0.15, compat_rng=True)) == [0, 15, 17]
+    labels = spark.createDataFrame([(i, 0 if i < 6 else 1 if i < 10 else 2) for i in range(11)], "id long, y int")
+    assert held(splits.sanctified(labels, ["id"], 0.25, stratify="y", compat_rng=True)) == [0, 7]
+    tests = splits.kfold(spark.range(13), ["id"], 5, compat_rng=True).where("fold = 1")
+    assert sorted(r["id"] for r in tests.collect()) == [0, 8]
+    assert sorted(r["id"] for r in splits.train_test(spark.range(10), ["id"], 0.2, compat_rng=True).where("role = 'test'").collect()) == [3, 6]
+
+
 def test_ranks_and_quantiles(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("id"))
     assert ordered(df, ["id"]).where("rank <> id").isEmpty()
