@@ -123,6 +123,16 @@ def test_minhash_chain(spark):
     assert len(set(want.values())) > 5
 
 
+def test_parity_bits_never_differ_in_more_bits_than_the_sets():
+    r = np.random.RandomState(4)
+    for n in (0, 1, 30, 400, 5000):
+        common, left, right = (r.randint(0, 2**62, k).astype(np.uint64) for k in (n, r.randint(0, 60), r.randint(0, 60)))
+        a, b = np.union1d(common, left), np.union1d(common, right)
+        bits = sum(int(x).bit_count() for x in (op1_minhash.parity_bits(a) ^ op1_minhash.parity_bits(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+    assert (op1_minhash.parity_bits(a) == op1_minhash.parity_bits(a[::-1])).all()
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
