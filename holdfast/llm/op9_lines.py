@@ -1,26 +1,34 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Documents overlap if they share a rare line: one that at most RARE documents have; all of these are compared with each
-other. Of a more frequent line's documents, each is compared with the earliest one, so frequent lines find partners too.
-A pair is aligned by patience diff on line hashes; common blocks of MIN_WORDS words or more go from the later document.
+Later documents lose what patience diff on line hashes aligns with any earlier one: common blocks of MIN_WORDS words or
+more. Two documents can only have such a block in common if they hold equal windows, stretches of lines that just reach
+MIN_WORDS words, so documents are joined on hashes of these. A window's documents are compared with its earliest holder
+first, and those in which some line of it is then still there with the next holders, STEP times as many each round, until
+none is left to compare. What a line can lose is found whichever holders it is compared with, so the result is that of
+comparing all pairs.
 
 Only line hashes and word counts are shuffled; the texts are joined with what is to be deleted from them.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import SALTS, table, written
 
-#: Documents of one rare line, and words that a deleted block has at least.
-RARE, MIN_WORDS = 4, 10
+#: Documents of a line that are all compared with each other (no limit), and words that a deleted block has at least.
+RARE, MIN_WORDS = math.inf, 10
+#: Growth of the number of holders from one round to the next; it doesn't change the result.
+STEP = 16
+#: Of the hashes of windows.
+BASE, PRIME = 0x9E3779B97F4A7C15 % (2**61 - 1), 2**61 - 1
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -95,18 +103,83 @@ def line_list(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def overlaps(lines: DataFrame) -> DataFrame:
-    """Pairs (earlier, later) of keys to compare, from rows (key, h) of lines that count."""
-    seen = lines.distinct()
-    shared = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
+def windows(lines: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """Windows as (hash, first, last), first and last being lines that go if a block with the window is common.
+
+    From each line on, the shortest stretch of `least` words, and those longer by lines of fewer words in all: for each
+    line of a block of `least` words or more, one of them holds the line and is in the block. Hashes are polynomials by
+    prefix, so blank lines cost no more than others.
+    """
+    out = []
+    upto, head, power = [0], [0], [1]
+    for x, w in zip(lines, words):
+        upto.append(upto[-1] + w)
+        head.append((head[-1] * BASE + x) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    for i in range(len(lines)):
+        shortest = bisect_left(upto, upto[i] + least) - 1
+        j = shortest
+        while j < len(lines) and (j == shortest or upto[j + 1] - upto[i + 1] < least):
+            h = (head[j + 1] - head[i] * power[j + 1 - i]) % PRIME
+            out.append((h, j if j > shortest else i, i if j == shortest and not words[i] else j))
+            j += 1
+    return out
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [windows(x, w) for x, w in zip(batch.column("l").to_pylist(), batch.column("w").to_pylist())]
+        flat = list(zip(*(x for own in found for x in own))) or [(), (), ()]
+        at = pa.array([k for k, own in enumerate(found) for _ in own], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int32()), pa.array(flat[2], pa.int32())], ["key", "h", "i", "j"])
+
+
+def shared_windows(one: DataFrame) -> DataFrame:
+    """Rows (h, key, i, j, first) of windows that two documents or more hold, first being the earliest."""
+    each = one.select("key", "l", "w").mapInArrow(_windows, "key struct<id:long,t:long>, h long, i int, j int")
+    shared = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
     shared = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(shared, ["h", "salt"])
-    seen = written(seen.select("h", "key", "n", "first"))
-    star = seen.where((F.col("n") > RARE) & (F.col("key") > F.col("first"))).select(F.col("first").alias("earlier"), F.col("key").alias("later"))
-    sets = seen.where(F.col("n") <= RARE).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # RARE keys at most
-    late = sets.select("keys", F.posexplode("keys").alias("at", "later"))
-    rare = late.select("later", F.explode(F.slice("keys", F.lit(1), F.col("at"))).alias("earlier")).select("earlier", "later")
-    return star.unionByName(rare).distinct()
+    each = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return written(each.join(shared, ["h", "salt"]).select("h", "key", "i", "j", "first"))
+
+
+def compared(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows (key, gone): the lines that pairs (earlier, later) align, by later document."""
+    a = one.select(F.col("key").alias("earlier"), F.col("l").alias("la"))
+    b = one.select(F.col("key").alias("later"), F.col("l").alias("lb"), F.col("w").alias("wb"))
+    aligned = pairs.distinct().join(a, "earlier").join(b, "later").select("later", "la", "lb", "wb").mapInArrow(_align, "later struct<id:long,t:long>, gone array<int>")
+    return merged(aligned.withColumnRenamed("later", "key"))
+
+
+def merged(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def common_with_any(one: DataFrame) -> DataFrame:
+    """Rows (key, gone): the lines that any earlier document aligns, from rows (key, l, w) of documents."""
+    held = shared_windows(one)
+    rest = held.where("key > first")
+    found = [written(compared(rest.select(F.col("first").alias("earlier"), F.col("key").alias("later")), one))]
+
+    def uncovered(rest: DataFrame) -> DataFrame:
+        out = rest.join(found[-1], "key", "left")
+        return out.withColumn("left", F.array_except("left", F.coalesce("gone", F.array().cast("array<int>")))).where(F.size("left") > 0).drop("gone")
+
+    rest = written(uncovered(rest.select("h", "key", F.sequence("i", "j").alias("left"))))
+    holders = held.select("h", "key").distinct().join(rest.select("h").distinct(), "h", "left_semi")
+    holders = written(holders.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1))
+    rest = written(rest.join(holders, ["h", "key"]))
+    begin, end = 1, 1 + STEP
+    while not (rest := rest.where(F.col("place") > begin)).isEmpty():
+        some = holders.where((F.col("place") >= begin) & (F.col("place") < end)).select("h", F.col("key").alias("earlier"))
+        pairs = rest.join(some, "h").where("earlier < key").select("earlier", F.col("key").alias("later"))
+        found.append(written(compared(pairs, one)))
+        rest = written(uncovered(rest))
+        begin, end = end, end + STEP * (end - begin)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return merged(out)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -125,13 +198,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     copies = each.groupBy(F.col("key.t").alias("t"), "t2").agg(F.min("key").alias("key"))
     # A table: a scan's exchange can be split where a document is the earlier one of very many.
     one = written(each.join(copies.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    lines = one.select("key", F.explode("l").alias("h")).where("h != 0")
-    pairs = overlaps(lines)
-    a = one.select(F.col("key").alias("earlier"), F.col("l").alias("la"))
-    b = one.select(F.col("key").alias("later"), F.col("l").alias("lb"), F.col("w").alias("wb"))
-    aligned = pairs.join(a, "earlier").join(b, "later").select("later", "la", "lb", "wb").mapInArrow(_align, "later struct<id:long,t:long>, gone array<int>")
-    gone = aligned.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = gone.select(F.col("later").alias("_key"), "gone")
+    gone = common_with_any(one).withColumnRenamed("key", "_key")
     later = each.join(copies.select("key"), "key", "left_anti").where(F.aggregate("w", F.lit(0), lambda s, x: s + x) >= MIN_WORDS)
     whole = later.select(F.col("key").alias("_key"), F.sequence(F.lit(0), F.size("l") - 1).alias("gone")).dropDuplicates(["_key"])
     fates = written(gone.unionByName(whole))

@@ -408,6 +408,30 @@ def test_lines_odd(odd, none):
     assert op9_lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_many_documents(spark):
+    """A frequent line that the earliest holder can't align, and a block of short frequent lines whose earliest holders differ."""
+    x, y, p, q = (" ".join(c + str(i) for i in range(n)) for c, n in (("x", 12), ("y", 12), ("p", 6), ("q", 6)))
+    texts = [f"{x}\nown{d}\n{y}" for d in range(8)]
+    texts[3] = f"{y}\nown3\n{x}"
+    texts += [f"{y}\nlast\n{x}", *(f"{line}\nalone{k}" for line in (p, q) for k in range(5)), f"{p}\n{q}", f"new\n{p}\n{q}"]
+    got = {r["doc_id"]: r["text"] for r in op9_lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[8] == "last" and got[len(texts) - 1] == "new" and got[len(texts) - 2] == texts[-2]
+
+
+def test_line_windows():
+    r = random.Random(7)
+    for _ in range(300):
+        lines = [r.randrange(5) for _ in range(r.randint(0, 14))]
+        words = [3 * x for x in lines]
+        found = op9_lines.windows(lines, words)
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(words[i : j + 1]) >= op9_lines.MIN_WORDS:
+                    own = {h for h, _, _ in op9_lines.windows(lines[i : j + 1], words[i : j + 1])}
+                    assert set(range(i, j + 1)) <= {k for h, a, b in found if h in own for k in range(a, b + 1)}
+    assert len(op9_lines.windows([1, *[0] * 20000, 2], [10, *[0] * 20000, 10])) < 50000
+
+
 def test_patience():
     r = random.Random(8)
     for _ in range(300):
