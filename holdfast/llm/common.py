@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Copies of the small side of a join whose key can be hot; each row of the large side picks one of them.
 SALTS = 8
+#: Parts at most that a hot key is dealt to where copies are made for those parts alone that there are.
+SPREAD = 1024
 #: Bytes of text that one numpy pass handles; bounds the memory of a Python worker.
 PASS_BYTES = 2_000_000
 
@@ -57,6 +59,17 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salt_of: str, how:
     return many.join(few, [key, "_salt"], how).drop("_salt")
 
 
+def spread_join(large: DataFrame, small: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join on a key that may be very hot in `large` and is unique in `small`: up to SPREAD tasks share each key.
+
+    A row of `large`, best a table since it is read twice, has a part by the hash of column spread_by; `small` is copied to
+    those parts of a key that there are, so keys of few rows cost few copies.
+    """
+    many = large.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
+    copies = many.select(key, "_part").distinct().join(small, key)
+    return many.join(copies, [key, "_part"], how).drop("_part")
+
+
 def passes(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PASS_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text (one row at least), with the texts as UTF-8; null counts as empty."""
     for batch in batches:

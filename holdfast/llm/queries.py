@@ -20,4 +20,5 @@ SQL = {
     "op1_minhash_near_dedup": op1_minhash.SQL,
     "op4_quality_rules": op4_rules.SQL,
     "op7_chat_formatting": op7_chat.SQL,
+    "op9_line_dedup": op9_lines.SQL,
 }

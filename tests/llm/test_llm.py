@@ -371,24 +371,28 @@ def test_fingerprints_of_repeated_rows(odd):
 
 # 9
 def brute_lines(docs):
-    lines = {d: t.split("\n") for d, t in docs}
-    has = lambda x: bool(x.encode().split())
-    first, gone = {}, collections.defaultdict(set)
-    own = {d: first.setdefault(t, d) for d, t in sorted(docs)}
-    holders = collections.defaultdict(list)
-    for d, _ in sorted(docs):
-        if own[d] == d:
-            for x in set(lines[d]):
-                if has(x):
-                    holders[x].append(d)
-    pairs = {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :] if len(h) <= op9_lines.RARE or not i}
-    for a, b in pairs:
-        clean = [[x if has(x) else 0 for x in lines[k]] for k in (a, b)]
-        gone[b] |= set(op9_lines.common_lines(*clean, [len(x.encode().split()) for x in lines[b]]))
-    for d, t in docs:
-        if own[d] != d and len(t.encode().split()) >= op9_lines.MIN_WORDS:
-            gone[d] = set(range(len(lines[d])))
-    return {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, _ in docs}
+    """Every stretch of lines with words, of ten words or more, that an earlier document holds too goes; found by comparing each
+    stretch of each document with those of all earlier ones, without hashes, windows or alignment."""
+    told = sorted(docs)
+    lines = {d: t.split("\n") for d, t in told}
+    worded = {d: [i for i, x in enumerate(v) if x.encode().split()] for d, v in lines.items()}
+    held, out = set(), {}
+    for d, _ in told:
+        at, mine, gone = worded[d], set(), set()
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                run = tuple(lines[d][k] for k in at[i : j + 1])
+                if sum(len(x.encode().split()) for x in run) < 10:
+                    continue
+                mine.add(run)
+                if run in held:
+                    gone |= set(range(i, j + 1))
+                elif any(sum(len(x.encode().split()) for x in part) >= 10 and part not in held for part in (run[1:], run[:-1])):
+                    break  # no longer stretch from here is held either
+        held |= mine
+        cut = {k for g in gone for k in range(at[g] if g else 0, at[g + 1] if g + 1 < len(at) else len(lines[d]))}
+        out[d] = "\n".join(x for k, x in enumerate(lines[d]) if k not in cut)
+    return out
 
 
 def test_lines(spark, small):
@@ -400,36 +404,58 @@ def test_lines(spark, small):
         assert {x["doc_id"]: x["text"] for x in op9_lines.dedup_lines(df).collect()} == brute_lines(docs)
 
 
-def test_lines_odd(odd, none):
+def test_lines_odd(spark, odd, none):
     out = op9_lines.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_removed"] and out.count() == 18
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[0] is None and got[1] == "" and got[5] == BASE and got[6] == "" and got[9] == ""
     assert op9_lines.dedup_lines(none).count() == 0
+    ten = " ".join("abcdefghij")
+    clash = spark.createDataFrame([(1, ten, "x", 5, "r"), (2, f"\n{ten}\n \nown", "y", 6, "s"), (2, ten, "z", 7, "t"), (None, None, "w", 8, "u")], "doc_id long, text string, gone string, _key int, row string")
+    rows = {(r["doc_id"], r["gone"]): r for r in op9_lines.dedup_lines(clash).collect()}
+    assert rows[2, "y"]["text"] == "own" and rows[2, "y"]["n_removed"] == 3 and rows[2, "z"]["text"] == "" and rows[1, "x"]["text"] == ten
+    assert {(k[1], r["_key"], r["row"]) for k, r in rows.items()} == {("x", 5, "r"), ("y", 6, "s"), ("z", 7, "t"), ("w", 8, "u")}
 
 
 def test_lines_of_many_documents(spark):
-    """A frequent line that the earliest holder can't align, and a block of short frequent lines whose earliest holders differ."""
+    """Lines that the earliest holder can't align, blocks of short lines whose earliest holders differ, runs without a unique line."""
     x, y, p, q = (" ".join(c + str(i) for i in range(n)) for c, n in (("x", 12), ("y", 12), ("p", 6), ("q", 6)))
     texts = [f"{x}\nown{d}\n{y}" for d in range(8)]
     texts[3] = f"{y}\nown3\n{x}"
     texts += [f"{y}\nlast\n{x}", *(f"{line}\nalone{k}" for line in (p, q) for k in range(5)), f"{p}\n{q}", f"new\n{p}\n{q}"]
     got = {r["doc_id"]: r["text"] for r in op9_lines.dedup_lines(docs_of(spark, texts)).collect()}
-    assert got[8] == "last" and got[len(texts) - 1] == "new" and got[len(texts) - 2] == texts[-2]
+    assert got == brute_lines(list(enumerate(texts)))
+    assert got[3] == "own3" and got[8] == "last" and got[len(texts) - 1] == "new" and got[len(texts) - 2] == texts[-2]
+    four = "a b c\nd e f\ng h i\nj k l"
+    texts = [f"{four}\n{four}\none", f"two\n{four}\nthree\n{four}", f"{p}\nnew\n{q}", f"{p}\n{q}"]
+    got = {r["doc_id"]: r["text"] for r in op9_lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts))) and got[1] == "two\nthree"
 
 
 def test_line_windows():
+    """Every line of a stretch of ten words is in a window of that stretch."""
     r = random.Random(7)
     for _ in range(300):
-        lines = [r.randrange(5) for _ in range(r.randint(0, 14))]
-        words = [3 * x for x in lines]
-        found = op9_lines.windows(lines, words)
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(words[i : j + 1]) >= op9_lines.MIN_WORDS:
-                    own = {h for h, _, _ in op9_lines.windows(lines[i : j + 1], words[i : j + 1])}
-                    assert set(range(i, j + 1)) <= {k for h, a, b in found if h in own for k in range(a, b + 1)}
-    assert len(op9_lines.windows([1, *[0] * 20000, 2], [10, *[0] * 20000, 10])) < 50000
+        words = [r.randint(1, 12) for _ in range(r.randint(0, 14))]
+        found = op9_lines.windows(words)
+        assert all(sum(words[i : j + 1]) >= 10 for i, j in found) and len(found) <= 2 * len(words)
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                if sum(words[i : j + 1]) >= 10:
+                    assert set(range(i, j + 1)) == {k for a, b in found if i <= a and b <= j for k in range(a, b + 1)}
+
+
+def test_alignment_finds_blocks():
+    """Patience alone, of a text with lines put in or left out: all that stands in order is found, repeated lines too."""
+    r = random.Random(12)
+    for pool in (6, 1000):
+        for _ in range(60):
+            a = [r.randrange(pool) for _ in range(30)]
+            at = r.randrange(25)
+            b = a[:at] + [-1, -2] + a[at + 3 :]
+            assert len(op9_lines.patience(a, b)) >= len(a) - 5
+    assert op9_lines.aligned_lines([1, 2, 3, 9, 4], [1, 2, 8, 3, 4], [6, 6, 1, 6, 6]) == {0, 1}
+    assert op9_lines.deleted([1, 2, 9, 3, 4], [3, 4, 8, 1, 2], [6, 6, 1, 6, 6], [(0, 3, 4), (3, 0, 1), (2, 1, 2)]) == {0, 1, 3, 4}
 
 
 def test_patience():
