@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 Tokens are runs of word characters or of other visible ones. The field tags each as outside (0), begin (1) or inside (2)
-of a secret by its shape, the shapes of its neighbours and features of the whole document, and is decoded by Viterbi.
-Where a token's score for outside beats anything that transitions can make up for, the best path is outside there; so it
-is enough to decode the stretches between such tokens, many at once.
+of a secret by its shape and those of its neighbours, how its characters mix, the word before it, and features of the
+whole document, and is decoded by Viterbi. Where a token's score for outside beats anything that transitions can make
+up for, the best path is outside there; so it is enough to decode the stretches between such tokens, many at once.
 
-The field is trained here, on a bounded sample of documents: the patterns' matches in them, invented secrets of other
-common forms put between their words, and stretches without any.
+The field is trained here, on a bounded sample of documents: the patterns' matches in them, invented secrets of random
+alphabets, lengths, prefixes and parts put between their words, invented harmless strings, and stretches without any.
+No known form of a secret (a vendor's prefix, a fixed length) is a feature or an example.
 """
 
 from __future__ import annotations
@@ -30,37 +31,26 @@ KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-#: Documents that the field is fitted on, by hash of their id; tokens on either side of a training example; shortest added span.
-SAMPLE_DOCS, AROUND, LEAST_CHARS = 3000, 5, 12
+#: Documents that the field is fitted on, by hash of their id; tokens before (and, twice as many, behind) a training example's centre.
+SAMPLE_DOCS, AROUND = 1000, 5
 REDACTED = "[SECRET]"
 
 _CLASS = np.full(256, 2, np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"_+/-.", *range(128, 256)]] = 1
-_SETS = {"digit": range(48, 58), "upper": range(65, 91), "lower": range(97, 123), "hex": [*range(48, 58), *range(97, 103)], "wide": range(128, 256)}
+_SETS = {"digit": range(48, 58), "upper": range(65, 91), "lower": range(97, 123), "hex": [*range(48, 58), *range(97, 103)], "wide": range(128, 256), "vowel": b"aeiouyAEIOUY"}
 _TABLES = {k: np.isin(np.arange(256), list(v)) for k, v in _SETS.items()}
-_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"key", b"pwd", b"pass", b"bearer", b"authorization", b"credential", b"auth")
-_KEYWORD, _PREFIXED, _EDGE = 64, 65, 66
-N_CLASSES, N_FILE = 67, 8
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    buf = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    return hash_spans(buf, ends - np.array([len(w) for w in words]), ends)
-
-
-_KEY_HASHES = np.sort(_hash_words(list(_WORDS)))
-_PREFIX_HASHES = np.sort(_hash_words([b"AKIA", b"ghp_", b"gho_", b"sk_l", b"sk-a", b"xoxb", b"xoxp", b"eyJh", b"AIza"]))
-
-
-def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return known[at] == h
+_CHAR = np.select([_TABLES["lower"], _TABLES["upper"], _TABLES["digit"]], [1, 2, 3], 0).astype(np.int8)
+_JOINT = np.isin(np.arange(256), list(b"_-."))
+#: Sizes of the tables of weights: classes of a token (the last is the text's edge), mixes, words before it by hash, file features.
+_EDGE = 64
+N_CLASSES, N_MIX, N_WORDS, N_FILE = 65, 56, 1025, 8
+VIEWS = (N_CLASSES, N_CLASSES, N_CLASSES, N_CLASSES, N_MIX, N_WORDS, N_FILE)
 
 
 class Tokens:
-    """Tokens of texts: starts, ends, classes, the text of each, and a file feature for each text."""
+    """Tokens of texts: starts, ends, the text of each, and views, one column for each of VIEWS: the token's own class, those of the
+    one before, two before and after, how its characters mix and whether it touches the token before, the word before it, its text's file feature."""
 
     def __init__(self, texts: list[bytes]):
         whole = b"\n".join(texts) + b"\n"
@@ -76,10 +66,11 @@ class Tokens:
         self.text_starts = self.text_ends - sizes + 1
         self.first = np.concatenate((np.searchsorted(self.starts, self.text_starts), [len(self.starts)]))
         size = self.ends - self.starts
+        upto = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int32)))
         got = {}
         for k, t in _TABLES.items():
-            upto = np.concatenate(([0], np.cumsum(t[self.buf[:n]], dtype=np.int64)))
-            got[k] = upto[self.ends] - upto[self.starts]
+            count = upto(t[self.buf[:n]])
+            got[k] = count[self.ends] - count[self.starts]
         letters = got["upper"] + got["lower"]
         kind = np.select(
             [got["wide"] > 0, (got["digit"] > 0) & (letters == 0), (got["digit"] == 0) & (got["upper"] == 0), (got["digit"] == 0) & (got["upper"] == 1), (got["digit"] == 0) & (got["lower"] == 0), got["digit"] == 0, got["hex"] == size, got["upper"] == 0, got["lower"] == 0],
@@ -90,16 +81,40 @@ class Tokens:
         head = self.buf[self.starts]
         mark = c[self.starts] == 2
         cls[mark] = np.select([head[mark] == 61, head[mark] == 58, (head[mark] == 34) | (head[mark] == 39)], [0, 1, 2], 3)
-        low = np.frombuffer(whole.lower() + bytes(8), np.uint8)
-        key = np.flatnonzero(~mark & (size <= 13) & (got["digit"] == 0))
-        cls[key[_among(hash_spans(low, self.starts[key], self.ends[key]), _KEY_HASHES)]] = _KEYWORD
-        long = np.flatnonzero(~mark & (size >= 16))
-        cls[long[_among(hash_spans(self.buf, self.starts[long], self.starts[long] + 4), _PREFIX_HASHES)]] = _PREFIXED
-        self.cls = cls
         self.of = np.searchsorted(self.first[1:], np.arange(len(cls)), "right")
+
+        # How letters of either case and digits alternate in a token, and its share of vowels.
+        k = _CHAR[self.buf[:n]]
+        turns = upto(np.concatenate(([False], (k[1:] != k[:-1]) & (k[1:] > 0) & (k[:-1] > 0))))
+        turns = turns[self.ends] - turns[np.minimum(self.starts + 1, n)]
+        vowels = np.where(letters > 0, 1 + np.searchsorted([0.15, 0.3], got["vowel"] / np.maximum(letters, 1), "right"), 0)
+        mix = 8 * np.searchsorted([1, 2, 3, 4, 6, 10], turns, "right") + 2 * vowels
+        mix[1:] += self.starts[1:] == self.ends[:-1]  # nothing stands between it and the token before
+
+        # The last part of the nearest word before a token, at most three tokens away, in lower case.
+        at = np.arange(len(cls))
+        joint = np.maximum.accumulate(np.where(_JOINT[self.buf[:n]], np.arange(n), -1)) if n else np.zeros(0, np.int64)
+        last = joint[self.ends - 1]
+        part = np.where((last >= self.starts) & (last < self.ends - 1), last + 1, self.starts)
+        low = np.frombuffer(whole.lower() + bytes(8), np.uint8)
+        short = ~mark & (self.ends - part <= 16)
+        word = np.full(len(cls), N_WORDS - 1)
+        word[short] = (hash_spans(low, part[short], self.ends[short]) % np.uint64(N_WORDS - 1)).astype(np.int64)
+        before = np.concatenate(([-1], np.maximum.accumulate(np.where(mark, -1, at))[:-1])) if len(at) else at
+        near = (before >= self.first[self.of]) & (at - before <= 3)
+        near = np.where(near, word[np.maximum(before, 0)], N_WORDS - 1)
+
         many = np.maximum(np.diff(self.first), 1)
         share = lambda x: np.bincount(self.of, x, len(texts)) / many
-        self.file = (share(cls == _KEYWORD) > 0).astype(np.int64) + 2 * (share((got["digit"] > 0).astype(float)) > 0.05) + 4 * (many < 200)
+        file = (share((cls == 0) | (cls == 1)) > 0.02).astype(np.int64) + 2 * (share((got["digit"] > 0).astype(float)) > 0.05) + 4 * (many < 200)
+
+        def beside(shift: int) -> np.ndarray:
+            there = at + shift
+            ok = (there >= self.first[self.of]) & (there < self.first[self.of + 1])
+            return np.where(ok, cls[np.where(ok, there, 0)], _EDGE) if len(cls) else cls
+
+        self.cls = cls
+        self.views = np.stack([cls, beside(-1), beside(-2), beside(1), mix, near, file[self.of]], 1).astype(np.int32)
 
 
 def base_matches(buf: bytes) -> list[tuple[int, int, int]]:
@@ -112,28 +127,21 @@ def base_matches(buf: bytes) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Field:
-    """Weights: own, before, before2, after by token class; file by file feature; move between tags."""
+    """Weights: a table (values, 3) for each of VIEWS; move between tags."""
 
-    own: np.ndarray
-    before: np.ndarray
-    before2: np.ndarray
-    after: np.ndarray
-    file: np.ndarray
+    tables: list[np.ndarray]
     move: np.ndarray
 
-    def emissions(self, cls: np.ndarray, of: np.ndarray, file: np.ndarray) -> np.ndarray:
-        """Scores (tokens, 3); of: number of each token's text."""
-        n = len(cls)
-        near = lambda k: np.where((np.arange(n) + k >= 0) & (np.arange(n) + k < n), cls[np.clip(np.arange(n) + k, 0, max(n - 1, 0))], _EDGE)
-        same = lambda k: np.where((np.arange(n) + k >= 0) & (np.arange(n) + k < n) & (of[np.clip(np.arange(n) + k, 0, max(n - 1, 0))] == of), near(k), _EDGE)
-        return self.own[cls] + self.before[same(-1)] + self.before2[same(-2)] + self.after[same(1)] + self.file[file[of]]
-
-    def tags(self, cls: np.ndarray, of: np.ndarray, file: np.ndarray) -> np.ndarray:
-        """Viterbi's tags of all tokens."""
-        out = np.zeros(len(cls), np.int8)
-        if not len(cls):
+    def emissions(self, views: np.ndarray) -> np.ndarray:
+        """Scores (tokens, 3)."""
+        return sum((t[views[:, k]] for k, t in enumerate(self.tables)), np.zeros((len(views), 3)))
+
+    def tags(self, views: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Viterbi's tags of all tokens; of: number of each token's text."""
+        out = np.zeros(len(views), np.int8)
+        if not len(views):
             return out
-        e, m = self.emissions(cls, of, file), self.move
+        e, m = self.emissions(views), self.move
         lift = max(m[a, x] + m[x, b] - m[a, 0] - m[0, b] for a in range(3) for x in (1, 2) for b in range(3))
         lift = max(lift, *(m[a, x] - m[a, 0] for a in range(3) for x in (1, 2)), *(m[x, b] - m[0, b] for b in range(3) for x in (1, 2)), 0.0)
         open_ = np.flatnonzero(e[:, 0] - e[:, 1:].max(axis=1) <= lift)
@@ -154,8 +162,8 @@ class Field:
             back.append(step.argmax(axis=1).astype(np.int8))
             score = np.concatenate((step.max(axis=1) + e[first[:k] + t], score[k:]))
         end = first + size - 1
-        after = np.minimum(end + 1, len(cls) - 1)
-        right = (end + 1 < len(cls)) & (of[after] == of[end])
+        after = np.minimum(end + 1, len(views) - 1)
+        right = (end + 1 < len(views)) & (of[after] == of[end])
         tag = (score + np.where(right[:, None], m[:, 0], 0.0)).argmax(axis=1)
         out[end] = tag
         for t in range(size[0] - 1, 0, -1):
@@ -165,34 +173,33 @@ class Field:
         return out
 
 
-def fit(examples: list[tuple[list[int], list[int], int]], rounds: int = 120, rate: float = 0.05, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all examples (classes, tags, file feature) at once. Tokens stand by place, so that a step of
-    the forward and backward passes, scaled at each place, is one small product for all examples."""
-    w = [np.zeros((N_CLASSES, 3)) for _ in range(4)] + [np.zeros((N_FILE, 3)), np.zeros((3, 3))]
+def fit(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.05, l2: float = 1e-3) -> Field:
+    """Maximum likelihood by Adam over all examples (views, tags) at once. Tokens stand by place, so that a step of the forward and
+    backward passes, scaled at each place, is one small product for all examples."""
+    w = [np.zeros((size, 3)) for size in VIEWS] + [np.zeros((3, 3))]
     w[0][:, 0] = 0.5
     if not examples:
-        return Field(*w)
-    examples = sorted(examples, key=lambda x: -len(x[0]))  # at each place, the examples that reach it are the first ones
-    size = np.array([len(c) for c, _, _ in examples])
+        return Field(w[:-1], w[-1])
+    examples = sorted(examples, key=lambda x: -len(x[1]))  # at each place, the examples that reach it are the first ones
+    size = np.array([len(y) for _, y in examples])
     wide, n = size[0], len(examples)
     many = [int((size > t).sum()) for t in range(wide)]
-    file = np.array([f for _, _, f in examples])
-    cls, tag = np.full((n, wide + 3), _EDGE), np.zeros((n, wide), np.int64)
-    for i, (c, y, _) in enumerate(examples):
-        cls[i, 2 : 2 + len(c)], tag[i, : len(y)] = c, y
-    # By place, one place after another: the classes that each table of weights looks at, tags and file features.
-    flat = lambda x, shift: np.concatenate([x[: many[t], t + shift] for t in range(wide)])
-    views = [flat(cls, 2), flat(cls, 1), flat(cls, 0), flat(cls, 3), np.concatenate([file[:k] for k in many])]
-    hot = np.eye(3)[flat(tag, 0)]
+    # By place, one place after another.
+    start = np.cumsum(size) - size
+    order = np.concatenate([start[: many[t]] + t for t in range(wide)])
+    every = np.concatenate([v for v, _ in examples])[order]
+    views = [np.ascontiguousarray(every[:, k]) for k in range(len(VIEWS))]
+    tag = np.concatenate([y for _, y in examples])[order]
+    hot = np.eye(3)[tag]
     at = np.concatenate(([0], np.cumsum(many)))
     real = np.zeros((3, 3))
     for t in range(1, wide):
-        np.add.at(real, (tag[: many[t], t - 1], tag[: many[t], t]), 1)
+        np.add.at(real, (tag[at[t - 1] : at[t - 1] + many[t]], tag[at[t] : at[t + 1]]), 1)
     m1, m2 = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for r in range(1, rounds + 1):
-        e = sum(w[k][views[k]] for k in range(5))
+        e = sum(w[k][v] for k, v in enumerate(views))
         e = np.exp(e - e.max(axis=1, keepdims=True))
-        move = np.exp(w[5])
+        move = np.exp(w[-1])
         a, b, low = np.empty_like(e), np.ones_like(e), np.empty((len(e), 1))
         for t in range(wide):
             here, prior = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + many[t])
@@ -207,99 +214,136 @@ def fit(examples: list[tuple[list[int], list[int], int]], rounds: int = 120, rat
             both += a[prior].T @ ahead
         d = a * b - hot
         grads = [np.stack([np.bincount(v, d[:, y], len(w[k])) for y in range(3)], 1) / n + l2 * w[k] for k, v in enumerate(views)]
-        grads.append((both * move - real) / n + l2 * w[5])
+        grads.append((both * move - real) / n + l2 * w[-1])
         for k, g in enumerate(grads):
             m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.99 * m2[k] + 0.01 * g * g
             w[k] = w[k] - rate * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.99**r)) + 1e-8)
-    return Field(*w)
+    return Field(w[:-1], w[-1])
+
+
+# Words that name a secret, and ways to assign one.
+_NAMES = "password passwd pwd pass passphrase secret token key apikey auth credential credentials bearer pin login cookie session signature".split()
+_ASSIGNS = [(": ", ""), ("=", ""), (" = ", ""), ('="', '"'), (': "', '"'), ("='", "'"), (":", "")]
+_LETTERS = string.ascii_letters + string.digits
+_ALPHABETS = [_LETTERS, _LETTERS, string.ascii_letters, _LETTERS + "+/", _LETTERS + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", "0123456789ABCDEF"]
 
 
-def _invented(r: random.Random) -> tuple[bytes, bytes]:
-    """Text before a secret, and the secret: forms that the patterns miss or find."""
+def _invented(r: random.Random, some: list[str]) -> tuple[str, str, str]:
+    """Text before a secret, the secret, and text behind it. some: words of a document."""
     of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
-    mixed = string.ascii_letters + string.digits
-    before, said = r.choice(
+    name = r.choice(["", r.choice(some)[:8] + r.choice("_-."), ""]) + r.choice(_NAMES)
+    name = r.choice([name, name, name.upper(), name.title()])
+    begin, end = r.choice(_ASSIGNS)
+    chars, form = r.choice(_ALPHABETS), r.random()
+    if form < 0.2:
+        return name + begin, r.choice([of(_LETTERS + r.choice(["", "!@#$%^&*?"]), r.randint(6, 20)), of(string.ascii_lowercase, r.randint(3, 9)) + of(string.digits, r.randint(1, 4)) + of("!@#$" + string.ascii_lowercase, r.randint(0, 4))]), end
+    if form < 0.5:
+        said = of(chars, r.randint(16, 64))
+    elif form < 0.75:
+        joint = r.choice("-._")
+        said = joint.join(of(chars, r.randint(4, 24)) for _ in range(r.randint(2, 5)))
+        said += of(chars, max(0, 20 - len(said)))
+    else:
+        said = of(r.choice([string.ascii_lowercase, _LETTERS]), r.randint(2, 6)) + r.choice("_-.") + of(chars, r.randint(16, 48))
+    return r.choice([(name + begin, said, end), (r.choice(["", "", '"', "(", "id "]), said, "")])
+
+
+def _harmless(r: random.Random, some: list[str]) -> str:
+    """A string that isn't a secret but looks unlike prose."""
+    w = lambda: r.choice(some)[:12].lower()
+    n = lambda a, b: str(r.randint(a, b))
+    return r.choice(
         [
-            (f"{r.choice(['pwd', 'key', 'auth', 'credential', 'pass'])}{r.choice([': ', '=', ' = ', '=\"'])}", of(mixed, r.randint(12, 40))),
-            ("", "ghp_" + of(mixed, 36)),
-            ("", "sk_live_" + of(mixed, 24)),
-            ("Authorization: Bearer ", "eyJh" + of(mixed, 40) + "." + of(mixed, 30)),
-            ("", "AKIA" + of(string.ascii_uppercase + string.digits, 16)),
-            ("", "AIza" + of(mixed + "-_", 35)),
-            ("", of("0123456789abcdef", r.choice([32, 40, 64]))),
-            ("xox token ", "xoxb-" + of(string.digits, 12) + "-" + of(mixed, 24)),
+            lambda: f"{w()}{r.choice([': ', '=', ' = '])}{r.choice([w(), n(0, 99999)])}",
+            lambda: f"{w()}.{w()}{r.choice(['', n(0, 99)])}@{w()}.com",
+            lambda: f"https://www.{w()}.com/{w()}/{w()}-{w()}-{n(1, 99999)}",
+            lambda: f"/{w()}/{w()}_{w()}/{w()}-{n(1, 20)}.{w()[:3]}",
+            lambda: f"20{n(10, 29)}-{n(10, 12)}-{n(10, 28)}T{n(10, 23)}:{n(10, 59)}:{n(10, 59)}",
+            lambda: ".".join(n(0, 255) for _ in range(4)),
+            lambda: f"v{n(0, 9)}.{n(0, 20)}.{n(0, 9)}-{w()}",
+            lambda: f"+{n(1, 99)}-{n(100, 999)}-{n(100, 999)}-{n(1000, 9999)}",
+            lambda: n(10**9, 10**15),
+            lambda: "".join(w().title() for _ in range(r.randint(2, 4))),
+            lambda: "_".join(w() for _ in range(r.randint(2, 4))) + r.choice(["", f"_{n(1, 999)}"]),
+            lambda: "-".join(w() for _ in range(r.randint(3, 6))),
+            lambda: w().upper() + n(1, 9999),
+            lambda: f"{r.choice(_NAMES)} {w()} {w()}",
         ]
-    )
-    return before.encode(), said.encode()
+    )()
 
 
-def examples_of(doc_id: int | None, text: bytes) -> list[tuple[list[int], list[int], int]]:
-    """Training examples of one document: around its matches, around invented secrets among its words, and without any."""
+def examples_of(doc_id: int | None, text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training examples (views, tags) of one document: around its matches, around an invented secret and harmless strings among its
+    words, and without any."""
     r = random.Random(doc_id or 0)
-    out: list[tuple[list[int], list[int], int]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(text: bytes, spans: list[tuple[int, int]], plain: int) -> None:
+    def add(text: bytes, spans: list[tuple[int, int]], plain: int, also: tuple[int, int] = (0, 0)) -> None:
         t = Tokens([text])
         tags = np.zeros(len(t.cls), np.int64)
         for a, b in spans:
-            inside = np.flatnonzero((t.starts >= a) & (t.ends <= b))
+            inside = np.flatnonzero((t.starts < b) & (t.ends > a))
             tags[inside] = 2
             tags[inside[:1]] = 1
-        centres = [int(i) for i in np.flatnonzero(tags == 1)[:20]]
+        centres = [int(i) for i in r.sample(range(len(tags)), len(tags)) if tags[i] == 1][:20]
         clear = [int(i) for i in np.flatnonzero(tags == 0)]
         odd = [i for i in clear if 4 <= t.cls[i] and t.cls[i] not in (6, 7, 16, 17, 26, 27, 36, 37)]
-        centres += r.sample(clear, min(plain, len(clear))) + r.sample(odd, min(3 * plain, len(odd)))
+        centres += r.sample(clear, min(plain, len(clear))) + r.sample(odd, min(2 * plain, len(odd)))
+        centres += [i for i in clear if also[0] <= t.starts[i] < also[1]][:2]
         for i in centres:
             a, b = max(0, i - AROUND), min(len(tags), i + 2 * AROUND)
-            out.append((t.cls[a:b].tolist(), tags[a:b].tolist(), int(t.file[0])))
+            out.append((t.views[a:b], tags[a:b]))
 
     add(text, [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] + [(a, b) for a, b, k in base_matches(text) if k], 2)
-    words = text.split()
+    words = [w.decode() for w in text.split()] if text else []
     if words:
-        at = r.randrange(len(words))
-        some = words[at : at + 12]
-        cut = r.randint(0, len(some))
-        before, said = _invented(r)
-        head = b" ".join([*some[:cut], before]) if before else b" ".join([*some[:cut], b""])
-        add(head + said + b" " + b" ".join(some[cut:]), [(len(head), len(head) + len(said))], 1)
+        for _ in range(2):
+            at = r.randrange(len(words))
+            some, behind = words[at : at + 6], words[at + 6 : at + 12]
+            before, said, after = _invented(r, words)
+            head = " ".join([*some, before]).encode()
+            add(head + said.encode() + " ".join([after, *behind]).encode(), [(len(head), len(head) + len(said.encode()))], 1)
+            other, head = _harmless(r, words).encode(), " ".join([*some, ""]).encode()
+            add(head + other + " ".join(["", *behind]).encode(), [], 0, (len(head), len(head) + len(other)))
     return out
 
 
 def _collect_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in passes(batches):
-        rows = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), texts) for x in examples_of(d, t)]
-        yield pa.RecordBatch.from_pylist([{"doc_id": d, "cls": c, "tags": y, "file": f} for d, c, y, f in rows], pa.schema([("doc_id", pa.int64()), ("cls", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32())), ("file", pa.int32())]))
+        rows = [(d, v.astype("<i4").tobytes(), y.astype(np.int8).tobytes()) for d, t in zip(batch.column("doc_id").to_pylist(), texts) for v, y in examples_of(d, t)]
+        cols = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["doc_id", "views", "tags"])
 
 
 def fit_field(docs: DataFrame) -> Field:
-    """Fit to SAMPLE_DOCS documents, those of the smallest id hash."""
+    """Fit to SAMPLE_DOCS documents, those of the smallest id hash; one text of an id that rows repeat. Patterns and field then scan
+    every document whole."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # SAMPLE_DOCS rows
     one = sample.groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = one.mapInArrow(_collect_examples, "doc_id long, cls array<int>, tags array<int>, file int").toArrow().to_pylist()
-    found.sort(key=lambda x: (x["doc_id"], x["cls"], x["tags"]))
-    return fit([(x["cls"], x["tags"], x["file"]) for x in found])
+    found = one.mapInArrow(_collect_examples, "doc_id long, views binary, tags binary").toArrow().to_pylist()
+    found.sort(key=lambda x: (x["doc_id"], x["views"], x["tags"]))
+    return fit([(np.frombuffer(x["views"], "<i4").reshape(-1, len(VIEWS)), np.frombuffer(x["tags"], np.int8).astype(np.int64)) for x in found])
 
 
 def scan(texts: list[bytes], field: Field) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, end, kind) of each text, in bytes of it, by start and kind; the field's are apart from the patterns'."""
+    """Spans (start, end, kind) of each text, in bytes of it, by start and kind. Of the field's, the parts are given that no pattern
+    covers and that hold a word character."""
     t = Tokens(texts)
     whole = t.buf[: t.text_ends[-1] + 1].tobytes() if texts else b""
     base = base_matches(whole)
-    tags = field.tags(t.cls, t.of, t.file)
+    tags = field.tags(t.views, t.of)
     on = np.flatnonzero(tags)
     added = []
     if len(on):
         begin = np.flatnonzero(np.concatenate(([True], (np.diff(on) > 1) | (tags[on[1:]] == 1) | (np.diff(t.of[on]) > 0))))
         stop = np.concatenate((begin[1:], [len(on)])) - 1
-        spans = np.stack((t.starts[on[begin]], t.ends[on[stop]]), 1)
-        spans = spans[spans[:, 1] - spans[:, 0] >= LEAST_CHARS]
-        taken = np.zeros(len(whole) + 1, np.int64)
+        taken = np.zeros(len(whole) + 1, bool)
         for a, b, _ in base:
-            taken[a] += 1
-            taken[b] -= 1
-        upto = np.concatenate(([0], np.cumsum(np.cumsum(taken) > 0)))
-        added = [(int(a), int(b), 3) for a, b in spans if upto[a] == upto[b]]
+            taken[a:b] = True
+        for a, b in zip(t.starts[on[begin]].tolist(), t.ends[on[stop]].tolist()):
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], taken[a:b], [True])).astype(np.int8))) + a
+            added += [(x, y, 3) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()) if (_CLASS[t.buf[x:y]] == 1).any()]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     found = sorted(base + added, key=lambda x: (x[0], x[2]))
     of = np.searchsorted(t.text_ends, [a for a, _, _ in found], "left").tolist()
@@ -334,10 +378,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans) of documents (doc_id, text).
 
     spans: kind:start:end in code points, end exclusive, by start and kind, joined by commas; kinds are those of the
-    patterns, and crf for spans that the field adds where no pattern matches. base_sha256: of the patterns' spans alone.
+    patterns, and crf for what the field tags and no pattern covers, of any length. base_sha256: of the patterns' spans alone.
 
     Null text: as empty, without spans. Null doc_id stays null and is no training example; repeated rows are scanned
-    each. Empty table: no rows. Further columns are ignored.
+    each. Empty table: no rows, and a field without examples adds no span. Further columns are ignored. The field is
+    fitted to SAMPLE_DOCS documents (see fit_field).
     """
     field = fit_field(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -373,7 +418,8 @@ def _redacter(field: Field):
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns; secrets in text are replaced, and n_chars, where there is one, follows."""
+    """The documents with all their columns; each stretch of secrets in text is replaced by REDACTED, and n_chars, where there is
+    one, follows. Null or empty text stays as it is; repeated rows are treated each. Empty table: no rows."""
     return docs.mapInArrow(_redacter(fit_field(docs)), docs.schema)
 
 

@@ -230,25 +230,58 @@ def test_secrets(spark, odd, none):
     assert "abc12345" not in clean[0]["text"] and clean[0]["n_chars"] == len(clean[0]["text"]) and clean[2]["text"] is None
 
 
-def test_field_finds_what_no_pattern_does(small):
-    field = op5_secrets.fit_field(small)
+def test_field_finds_forms_it_was_not_trained_on(spark, small):
+    """Planted secrets of known vendors' forms, none of which is an example of the field; documents without any; the patterns' own."""
+    fitted, other = (spark.read.parquet(f"{DATA.replace('0.001', sf)}/documents.parquet") for sf in ("0.01", "0.1"))
+    field = op5_secrets.fit_field(fitted)
     r = random.Random(11)
-    pick = lambda n: "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
-    told = [f"and then the ghp_{pick(36)} was set there".encode() for _ in range(50)]
-    assert sum(any(k == 3 for _, _, k in s) for s in op5_secrets.scan(told, field)) >= 40
-    plain = [t.encode() for _, t in texts_of(small) if not op5_secrets.base_matches(t.encode())]
-    assert sum(any(k == 3 for _, _, k in s) for s in op5_secrets.scan(plain, field)) <= 0.05 * len(plain)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    pick = lambda n, chars=letters + "0123456789": "".join(r.choice(chars) for _ in range(n))
+    forms = {
+        "glpat": lambda: "glpat-" + pick(20),
+        "npm": lambda: "npm_" + pick(36),
+        "sendgrid": lambda: f"SG.{pick(22)}.{pick(43)}",
+        "base64": lambda: pick(40, letters + "0123456789+/"),
+        "uuid": lambda: "-".join(pick(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
+        "jwt": lambda: f"eyJ{pick(30)}.{pick(40)}.{pick(43)}",
+        "hf": lambda: "hf_" + pick(34, letters),
+    }
+    words = [w for _, t in texts_of(small) for w in t.split()]
+    for form in forms.values():
+        told = []
+        for _ in range(100):
+            at = r.randrange(len(words) - 20)
+            head, said = " ".join([*words[at : at + 10], ""]).encode(), form().encode()
+            told.append((head + said + " ".join(["", *words[at + 10 : at + 20]]).encode(), len(head), len(head) + len(said)))
+        found = op5_secrets.scan([t for t, _, _ in told], field)
+        assert sum(set(range(a, b)) <= {k for x, y, _ in s for k in range(x, y)} for (_, a, b), s in zip(told, found)) >= 90
+    texts = [t.encode() for _, t in texts_of(other.where("doc_id % 5 = 0"))]
+    plain = [t for t in texts if not op5_secrets.base_matches(t)]
+    assert sum(any(k == 3 for _, _, k in s) for s in op5_secrets.scan(plain, field)) < 0.01 * len(plain)
+    t = op5_secrets.Tokens(texts)
+    tags, hits = field.tags(t.views, t.of), []
+    for a, b, _ in op5_secrets.base_matches(t.buf[: t.text_ends[-1]].tobytes()):
+        hits.append(tags[(t.starts < b) & (t.ends > a)][-1] > 0)
+    assert len(hits) > 15 and sum(hits) >= 0.9 * len(hits)
+
+
+def test_field_spans_are_cut_where_patterns_cover_them():
+    tables = [np.zeros((n, 3)) for n in op5_secrets.VIEWS]
+    tables[0][:, 2] = 1.0  # everything is inside a secret
+    field = op5_secrets.Field(tables, np.zeros((3, 3)))
+    text = b'x password=Abc123!xyz789 "'
+    assert op5_secrets.scan([text, b"", b"  "], field) == [[(0, 2, 3), (2, 17, 0), (17, 26, 3)], [], []]
 
 
 def test_viterbi_in_stretches_is_exact():
     r = np.random.RandomState(3)
     for scale in (0.3, 1.0, 3.0):
-        w = [r.randn(op5_secrets.N_CLASSES, 3) * scale for _ in range(4)] + [r.randn(op5_secrets.N_FILE, 3), r.randn(3, 3)]
-        w[0][:, 0] += 2
-        field = op5_secrets.Field(*w)
+        tables = [r.randn(n, 3) * scale for n in op5_secrets.VIEWS]
+        tables[0][:, 0] += 2
+        field = op5_secrets.Field(tables, r.randn(3, 3))
         of = np.repeat(np.arange(40), r.randint(0, 30, 40))
-        cls, file = r.randint(0, op5_secrets.N_CLASSES, len(of)), r.randint(0, op5_secrets.N_FILE, 40)
-        got, e = field.tags(cls, of, file), field.emissions(cls, of, file)
+        views = np.stack([r.randint(0, n, len(of)) for n in op5_secrets.VIEWS], 1)
+        got, e = field.tags(views, of), field.emissions(views)
         for k in set(of.tolist()):
             at = np.flatnonzero(of == k)
             score, back = e[at[0]], []
