@@ -225,7 +225,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate:
 _NAMES = "password passwd pwd pass passphrase secret token key apikey auth credential credentials bearer pin login cookie session signature".split()
 _ASSIGNS = [(": ", ""), ("=", ""), (" = ", ""), ('="', '"'), (': "', '"'), ("='", "'"), (":", "")]
 _LETTERS = string.ascii_letters + string.digits
-_ALPHABETS = [_LETTERS, _LETTERS, string.ascii_letters, _LETTERS + "+/", _LETTERS + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", "0123456789ABCDEF"]
+_ALPHABETS = [_LETTERS, _LETTERS, string.ascii_letters, _LETTERS + "+/", _LETTERS + "-_", string.ascii_lowercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF"]
 
 
 def _invented(r: random.Random, some: list[str]) -> tuple[str, str, str]:

@@ -109,6 +109,51 @@ def test_minhash_odd(odd, none):
     assert op1_minhash.near_duplicates(none).count() == 0
 
 
+def edited(r, words, k, tag):
+    out = list(words)
+    for n, at in enumerate(r.sample(range(len(out) // 8 - 1), k)):
+        out[8 * at + 4] = f"{tag}{n}"  # apart, so that each takes five shingles
+    return " ".join(out)
+
+
+def test_minhash_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    near = lambda x: x.replace("9 ", "nine ", 1)
+    rows = [(3, b), (5, a), (5, b), (6, near(c)), (7, c), (7, d), (7, None), (8, d), (9, near(a)), (2, near(c)), (None, a)]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = {(r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in op1_minhash.near_duplicates(df).collect()}
+    assert got == {(3, True, 3, True), (5, True, 3, False), (6, True, 2, False), (7, True, 2, False), (7, False, 7, True), (8, True, 2, False), (9, True, 3, False), (2, True, 2, True), (None, True, None, True)}
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_near(spark, df, DATA).collect()), key=str)
+    assert left == sorted([(3, b), (5, a), (2, near(c)), (7, d), (7, None), (None, a)], key=str)
+    assert corpus_pipeline.dedup_near(spark, df, DATA).columns == df.columns
+
+
+def test_minhash_recall_at_the_line(spark):
+    """Pairs of similarity 0.85 to 0.87, each apart from all others, and pairs just below the line."""
+    r, texts, linked = random.Random(13), [], []
+    for i in range(300):
+        n = r.randrange(300, 600)
+        words = [f"p{i}w{k}" for k in range(n)]
+        k = next(k for k in range(1, n) if (n - 4 - 5 * k) / (n - 4 + 5 * k) < 0.855) - r.choice([0, 1])
+        texts += [" ".join(words), edited(r, words, k, f"e{i}x")]
+        linked.append(100 * (n - 4 - 5 * k) >= 85 * (n - 4 + 5 * k))
+    got = {x["doc_id"]: x["component_id"] for x in op1_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(300)]
+    assert sum(linked) > 140 and not any(f and not w for f, w in zip(found, linked)) and sum(found) >= 0.99 * sum(linked)
+
+
+def test_minhash_bucket_of_many_components(spark, monkeypatch):
+    """Texts of one template, most of them alike but not near, in buckets of many components, compared in parts."""
+    monkeypatch.setattr(op1_minhash, "PART_CLASSES", 7)
+    r = random.Random(14)
+    base = [f"t{k}" for k in range(320)]
+    texts = [edited(r, base, r.choice([2, 4, 5, 6, 8]), f"u{r.randrange(90)}x") for _ in range(150)]
+    df = docs_of(spark, texts)
+    want = brute_components(texts_of(df), 85)
+    assert {x["doc_id"]: x["component_id"] for x in op1_minhash.near_duplicates(df).collect()} == want
+    assert len(set(want.values())) > 20
+
+
 def test_minhash_chain(spark):
     """Links that the smallest document of a bucket has no part in, among many near copies."""
     r, texts = random.Random(5), []
