@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
-    The files go when the driver's JVM ends.
+    The files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/holdfast-{uuid.uuid4().hex}"
@@ -46,7 +46,17 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that written() made and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, salt_of: str, how: str = "inner") -> DataFrame:

@@ -78,17 +78,17 @@ def _smaller(position: np.ndarray) -> np.ndarray:
     return at
 
 
-def previous_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of `starts` (increasing positions, LENGTH bytes before the end of data at least): the length of the longest
-    factor that also begins at an earlier one of its group, counted in eights and up to LENGTH; and whether any other
-    start of its group has the same LENGTH bytes.
+def other_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factors: for each of `starts` (increasing positions, LENGTH bytes before the end of data at
+    least) the length of the longest factor that also begins at an earlier, and at a later one of its group, counted in eights and
+    up to LENGTH.
 
-    Starts are sorted as suffixes by doubling ranks. In suffix order, the nearest earlier positions on either side have
-    the longest common prefixes of all earlier ones.
+    Starts are sorted as suffixes by doubling ranks. In suffix order, the nearest earlier (smaller) positions on either side have
+    the longest common prefixes of all earlier ones, and likewise the nearest larger ones of all later ones.
     """
     n = len(starts)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.concatenate((data, np.zeros(2 * LENGTH, np.uint8)))
     lanes = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))[: len(data)]
     rank = {8: np.unique(lanes, return_inverse=True)[1].astype(np.int64)}
@@ -107,17 +107,20 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray) ->
             out += np.where((rank[step][a] == rank[step][b]) & (i + out < len(data)) & (j + out < len(data)), step, 0)
         return np.minimum(out, LENGTH - 1)
 
-    longest = np.zeros(n, np.int64)
-    for turn in (1, -1):
-        p = _smaller(pos[::turn])
-        p = np.where(p >= 0, p, -1)
-        if turn < 0:
-            p = np.where(p >= 0, n - 1 - p, -1)[::-1]
-        ok = np.flatnonzero((p >= 0) & (own[p] == own))
-        size = np.where(block[p[ok]] == block[ok], LENGTH, common(pos[p[ok]], pos[ok]))
-        longest[ok] = np.maximum(longest[ok], size)
-    same = block[1:] == block[:-1]
-    twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    lpf, dup = np.empty(n, np.int64), np.empty(n, bool)
-    lpf[order], dup[order] = longest, twin
-    return lpf, dup
+    def longest(key: np.ndarray) -> np.ndarray:
+        """Of each start in suffix order, the longest prefix in common with one of its group that has a smaller key."""
+        best = np.zeros(n, np.int64)
+        for turn in (1, -1):
+            p = _smaller(key[::turn])
+            if turn < 0:
+                p = np.where(p >= 0, n - 1 - p, -1)[::-1]
+            ok = np.flatnonzero((p >= 0) & (own[p] == own))
+            alike = block[p[ok]] == block[ok]
+            size = np.full(len(ok), LENGTH)
+            size[~alike] = common(pos[p[ok[~alike]]], pos[ok[~alike]])
+            best[ok] = np.maximum(best[ok], size)
+        out = np.empty(n, np.int64)
+        out[order] = best
+        return out
+
+    return longest(pos), longest(-pos)

@@ -3,11 +3,12 @@
 A string of LENGTH bytes is marked by the smallest hash of its grams, so equal strings have equal marks. Marks that occur
 twice anywhere are found by counting; the stretches of a text whose strings have one such mark are its runs. Runs of
 equal bytes are one member of the mark's class, with a count and a first occurrence. Only classes with several members,
-or with one that holds its mark twice, are compared on bytes: in suffix order, the nearest earlier positions on either side give each position's longest
-previous factor, so that later copies go and the first stays; or all copies go.
+or with one that holds its mark twice, are compared on bytes: in suffix order, the nearest earlier positions on either side
+give each position's longest previous factor, and the nearest later ones its longest next factor. Where the first has
+LENGTH bytes a later copy starts, which goes while the first stays; where either has, all copies go.
 
 Texts are deduplicated first and lie in a table bucketed by a hash, where what is found about them is joined without
-moving them. A class of more than CLASS members is never gathered: hashes of its strings are counted instead.
+moving them; the table is dropped in the end. A class of more than CLASS members is never gathered: hashes of its strings are counted instead.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import passes, salted_join, shared_dir, table, written
-from holdfast.llm.lpf import LENGTH, anchors, previous_factors, runs
+from holdfast.llm.common import discard, passes, salted_join, shared_dir, table, written
+from holdfast.llm.lpf import LENGTH, anchors, other_factors, runs
 from holdfast.llm.textops import U
 
 #: Members of a class that are compared in one task; bytes that one comparison takes.
@@ -84,16 +85,16 @@ def _found(marks: list, sames: list, twice: list, later: list) -> pa.RecordBatch
 
 def compare(members: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     """Of members (mark, same, bytes), classes together and each in order of first occurrence: which of a member's starts
-    have their LENGTH bytes anywhere else in the class, and which at an earlier place."""
+    have their LENGTH bytes at an earlier or a later place of the class, and which at an earlier one."""
     sizes = np.array([len(b) for _, _, b in members])
     at = np.cumsum(sizes) - sizes
     many = sizes - LENGTH + 1
     begin = np.cumsum(many) - many
     starts = np.arange(many.sum()) + np.repeat(at - begin, many)
     group = np.repeat(np.cumsum([i > 0 and members[i][0] != members[i - 1][0] for i in range(len(members))]), many)
-    lpf, dup = previous_factors(np.frombuffer(b"".join(b for _, _, b in members), np.uint8), starts, group)
+    lpf, lnf = other_factors(np.frombuffer(b"".join(b for _, _, b in members), np.uint8), starts, group)
     spans = list(zip(begin.tolist(), (begin + many).tolist()))
-    return _found([m for m, _, _ in members], [s for _, s, _ in members], [ranges_of(dup[a:b]) for a, b in spans], [ranges_of(lpf[a:b] >= LENGTH) for a, b in spans])
+    return _found([m for m, _, _ in members], [s for _, s, _ in members], [ranges_of(np.maximum(lpf[a:b], lnf[a:b]) >= LENGTH) for a, b in spans], [ranges_of(lpf[a:b] >= LENGTH) for a, b in spans])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name)
+    out = spark.table(name)
+    out.scratch, out.table = path, name
+    return out
 
 
 def dedup_substrings(docs: DataFrame, keep_first: bool = False, with_text: bool = False, class_members: int = CLASS) -> DataFrame:
@@ -222,7 +225,9 @@ def dedup_substrings(docs: DataFrame, keep_first: bool = False, with_text: bool
     ranges = F.when(F.col("first") == F.col("is_first"), F.col("later")).otherwise(F.col("whole")) if keep_first else F.col("twice")
     told = told.withColumn("r", F.explode(ranges)).groupBy("k1").agg(F.collect_set(F.struct("k2", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))).alias("ranges"))
     partly = texts.join(told.hint("merge"), "k1").select("k1", "k2", "text", "ranges").mapInArrow(_removed(with_text), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    partly = partly.where("n_removed > 0")
+    partly = written(partly.where("n_removed > 0"))
+    docs.sparkSession.sql(f"DROP TABLE {texts.table}")
+    discard(texts, marks, members, placed, each, bodies, found)
 
     verdicts = counts.join(partly, ["k1", "k2"], "left").select(F.struct("k1", "k2").alias("key"), "copies", "low", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
     out = salted_join(rows.withColumn("key", F.struct("k1", "k2")).withColumn("dice", F.struct("doc_id", "key")), verdicts, "key", "dice")

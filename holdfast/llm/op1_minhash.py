@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import passes, spread_join, table, written
+from holdfast.llm.common import discard, passes, spread_join, table, written
 from holdfast.llm.components import components
 from holdfast.llm.textops import U, Words, shingle_sets
 
@@ -99,13 +99,15 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class ids, those whose full shingle sets are similar enough."""
+    """A table of the pairs (a, b) of class ids whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = reps.select("id", F.col("low.doc_id").alias("doc_id"), F.col("low.text_key").alias("text_key")).join(ids, "id")
     sets = written(docs.join(wanted, ["doc_id", "text_key"]).select("id", "text").mapInArrow(_sets, "id long, shingles binary"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
+    out = written(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long"))
+    discard(sets)
+    return out
 
 
 def text_key(text):
@@ -134,12 +136,13 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True)
 
     enough = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     first = written(buckets.where(F.col("id") > F.col("hub.id")).where(enough(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = written(confirmed(first, docs, reps, percent))
+    links = confirmed(first, docs, reps, percent)
     if join_ids:
         torn = live.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a < b").select("doc_id")
         named = live.join(torn, "doc_id").select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key")
         same = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
-        links = written(links.unionByName(same.where("a != b")))
+        alone, links = links, written(links.unionByName(same.where("a != b")))
+        discard(alone)
     parts = written(components(links))
 
     labelled = buckets.select("bucket", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -155,9 +158,10 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True)
     near = (F.col("component") != F.col("component_2")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_2")))
     more = rest.join(other, ["bucket", "part"]).where(near & enough(F.col("n"), F.col("n_2"))).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"))
-    late = written(confirmed(more, docs, reps, percent))
+    late = confirmed(more, docs, reps, percent)
     if not late.isEmpty():
         parts = written(components(links.unionByName(late)))
+    discard(buckets, first, links, mixed, more, late)
 
     labels = reps.select("set_key", "low", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("set_key", "low", F.coalesce("component", "id").alias("component"))
     lowest = labels.groupBy("component").agg(F.min("low").alias("low"))
