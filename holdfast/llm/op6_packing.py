@@ -194,7 +194,8 @@ def sharded(rows: DataFrame) -> DataFrame:
     told = rows.join(F.broadcast(spark.createDataFrame(plan, "k1 int, base long, parts long")), "k1")  # a row for each token at most
     told = told.withColumn("shard", F.col("base") + F.pmod(F.xxhash64("k2"), F.col("parts"))).drop("base", "parts")
     large = told.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_DOCS).select("shard", F.ceil(F.col("n") / SHARD_DOCS).alias("pieces"))
-    told = salted_join(told, large, "shard", "row", "left")
+    # A table, whose size is known before the join: a small one is broadcast, and the rows stay where they are.
+    told = salted_join(told, written(large), "shard", "row", "left")
     return told.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
 
 
