@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fresh(stem: str) -> str:
+    """A name for a temporary column that no column of a user has."""
+    return f"_{stem}_{uuid.uuid4().hex}"
+
+
 def sigmoid(x: Column) -> Column:
     """1 / (1 + exp(-x)), x clipped to +-20."""
     return 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x))))

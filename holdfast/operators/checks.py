@@ -6,7 +6,7 @@ import math
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import nan_to_null
@@ -14,6 +14,9 @@ from holdfast.operators.dedup import duplicate_pairs
 from holdfast.operators.ranks import hash_ranked
 from holdfast.spec import DataError, DatasetSpec
 
+#: Centroids of a block that test rows are compared with.
+CENTROIDS = 256
+
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, n, low, high, status) in one pass; status: all_nan, zero_variance or ok. NaN counts as missing."""
@@ -86,8 +89,9 @@ def fingerprint_check(df: DataFrame, spec: DatasetSpec, test_fraction: float = 0
 
     Within a group of at least two rows, max(1, floor(m * test_fraction)) rows are held out by hash order. Features are
     scaled by the training rows (a deviation of 0 becomes 1; missing is 0 after centring). Ties go to the smaller group.
-    Risk: skip with under 3 groups, 3 test rows or 2 centroids; else low under a ratio of 3, medium under 10, high. The
-    centroid table is broadcast if Spark finds it small; with very many groups it is a nested loop by nature.
+    Risk: skip with under 3 groups, 3 test rows or 2 centroids; else low under a ratio of 3, medium under 10, high. A test
+    row meets blocks of about CENTROIDS centroids, and its nearest one is a minimum over the blocks; a single block is
+    broadcast, of more Spark chooses how to bring them to the rows.
     """
     g = spec.group
     rows = df.where(F.col(g).isNotNull()).select(*spec.id_cols, F.col(g).alias("g"), *[nan_to_null(F.col(c).cast("double")).alias(f"f{i}") for i, c in enumerate(spec.features)])
@@ -100,13 +104,14 @@ def fingerprint_check(df: DataFrame, spec: DatasetSpec, test_fraction: float = 0
     z = [F.coalesce((F.col(f"f{i}") - F.col(f"a{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")), F.lit(0.0)).alias(f"z{i}") for i in range(d)]
     scaled = lambda x: x.crossJoin(F.broadcast(stats)).select(*spec.id_cols, "g", *z)  # noqa: E731  one row of statistics
     centroids = scaled(train).groupBy(F.col("g").alias("c")).agg(F.array(*[F.avg(f"z{i}") for i in range(d)]).alias("centre"))
-    # All centroids in one array for each test row: no row is made for a pair.
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct("c", "centre"))).alias("all"), F.count("*").alias("n_centroids"))
+    parts = -(-sizes.count() // CENTROIDS) or 1
+    blocks = centroids.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(parts))).groupBy("b").agg(F.collect_list(F.struct("c", "centre")).alias("all"))
     at = F.array(*[F.col(f"z{i}") for i in range(d)])
     far = F.transform("all", lambda e: F.struct(F.aggregate(F.zip_with(e["centre"], at, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v).alias("far"), e["c"].alias("c")))
-    hit = scaled(test).crossJoin(F.broadcast(table)).select("g", "n_centroids", F.array_min(far)["c"].alias("guess"))
-    scored = hit.agg(F.count("*").alias("n_test"), F.avg((F.col("guess") == F.col("g")).cast("double")).alias("accuracy"), F.max("n_centroids").alias("n_centroids"))
-    out = scored.crossJoin(sizes.agg(F.count("*").alias("n_groups")))
+    met = scaled(test).crossJoin(F.broadcast(blocks) if parts == 1 else blocks).select(*spec.id_cols, "g", F.array_min(far).alias("best"))
+    hit = met.groupBy(*spec.id_cols).agg(F.first("g").alias("g"), F.min("best")["c"].alias("guess"))
+    scored = hit.agg(F.count("*").alias("n_test"), F.avg((F.col("guess") == F.col("g")).cast("double")).alias("accuracy"))
+    out = scored.crossJoin(sizes.agg(F.count("*").alias("n_groups"))).crossJoin(centroids.agg(F.count("*").alias("n_centroids")))  # one row each
     skip = (F.col("n_groups") < 3) | (F.col("n_test") < 3) | (F.col("n_centroids") < 2)
     ratio = F.col("accuracy") * F.col("n_groups")
     risk = F.when(skip, "skip").when(ratio < 3, "low").when(ratio < 10, "medium").otherwise("high")
@@ -143,8 +148,3 @@ def rare_classes(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
     """Rows (y, only_in) of classes that one side lacks."""
     a, b = train.select(y).distinct(), test.select(y).distinct()
     return a.exceptAll(b).withColumn("only_in", F.lit("train")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("test")))
-
-
-def numbered_copies(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Each row with how many copies its key has."""
-    return df.withColumn("copies", F.count("*").over(Window.partitionBy(*spec.features)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,6 +39,10 @@ class Model(ABC):
         self.check_fitted()
         return {}
 
+    def state(self) -> dict | None:
+        """All that prediction needs, as plain values, for restore(); None if a model can't be told so (it holds a function)."""
+        return None
+
     def check_fitted(self) -> None:
         if self.features is None:
             raise RuntimeError(f"{type(self).__name__}: fit() comes first")
@@ -64,6 +68,9 @@ class RidgeModel(Model):
         self.check_fitted()
         return {"weights": dict(zip(self.features, self.weights[:-1].tolist())), "bias": float(self.weights[-1])}
 
+    def state(self):
+        return {"kind": "ridge", "features": self.features, "alpha": self.alpha, "weights": [float(w) for w in self.weights]}
+
 
 class NLModel(Model):
     """One network on normalised features."""
@@ -89,6 +96,9 @@ class NLModel(Model):
         self.check_fitted()
         return {"layer_norms": [float(np.linalg.norm(w)) for w in self.net[::2]], "n_params": sum(p.size for p in self.net)}
 
+    def state(self):
+        return {"kind": "network", "features": self.features, "config": asdict(self.config), "stats": {c: [float(x) for x in self.stats[c]] for c in self.features}, "net": [p.tolist() for p in self.net]}
+
 
 class EnsembleModel(Model):
     """The mean of members: one base with n_seeds seeds (networks among them train in one job), or given models."""
@@ -131,6 +141,10 @@ class EnsembleModel(Model):
         self.check_fitted()
         return {"members": [m.analyze() for m in self.members]}
 
+    def state(self):
+        told = [m.state() for m in self.members]
+        return None if None in told else {"kind": "ensemble", "features": self.features, "members": told}
+
 
 class StackedModel(Model):
     """A second model on features with the first one's out-of-fold predictions.
@@ -178,6 +192,10 @@ class StackedModel(Model):
         self.check_fitted()
         return {"first": self.one.analyze(), "second": self.two.analyze()}
 
+    def state(self):
+        told = [self.one.state(), self.two.state()]
+        return None if None in told or callable(self.how) else {"kind": "stacked", "features": self.features, "augment": self.how, "models": told}
+
 
 class RoutedModel(Model):
     """Experts by route. route_fn: (df, router prediction column or None) to a Column of keys. An expert trains on the rows of
@@ -187,6 +205,9 @@ class RoutedModel(Model):
     def __init__(self, router: Model | None, experts: dict[str, Model], route_fn: Callable[[DataFrame, Column | None], Column], train_ranges: dict[str, tuple[float, float]] | None = None, min_samples: int = 2):
         self.router, self.experts, self.route_fn, self.train_ranges, self.min_samples = router, experts, route_fn, train_ranges, min_samples
 
+    #: Thresholds of the router's prediction and the names of its bins, where route_fn is made of them.
+    bins: tuple[Sequence[float], Sequence[str]] | None = None
+
     def _routed(self, df):
         if self.fitted_router is not None:
             df = self.fitted_router.predict(df, "_router")
@@ -223,6 +244,10 @@ class RoutedModel(Model):
         router = {} if self.fitted_router is None else {"router": self.fitted_router.analyze()}
         return router | {"experts": {k: m.analyze() for k, m in self.fitted.items()}}
 
+    def state(self):
+        told = [self.fitted_router.state() if self.fitted_router is not None else None, *(m.state() for m in self.fitted.values())]
+        return None if None in told or self.bins is None else {"kind": "cascade", "features": self.features, "bins": [list(b) for b in self.bins], "router": told[0], "experts": dict(zip(self.fitted, told[1:]))}
+
 
 @dataclass(frozen=True)
 class BinConfig:
@@ -255,4 +280,33 @@ def build_cascade(config: CascadeConfig, seed: int = 42) -> RoutedModel:
     names = [b.name for b in config.bins]
     experts = {b.name: _set_epochs_and_seed(b.model, config.epochs, seed + i + 1) for i, b in enumerate(config.bins)}
     ranges = {b.name: b.train for b in config.bins if b.train is not None}
-    return RoutedModel(_set_epochs_and_seed(config.router, config.epochs, seed), experts, lambda df, p: route(p, config.thresholds, names), ranges, config.min_samples)
+    out = RoutedModel(_set_epochs_and_seed(config.router, config.epochs, seed), experts, lambda df, p: route(p, config.thresholds, names), ranges, config.min_samples)
+    out.bins = (list(config.thresholds), names)
+    return out
+
+
+def restore(state: dict) -> Model:
+    """A fitted model from its state()."""
+    kind = state["kind"]
+    if kind == "ridge":
+        out = RidgeModel(state["alpha"])
+        out.weights = np.array(state["weights"])
+    elif kind == "network":
+        out = NLModel(NetConfig(**{**state["config"], "hidden_sizes": tuple(state["config"]["hidden_sizes"])}))
+        out.net, out.stats = [np.array(p) for p in state["net"]], {c: tuple(x) for c, x in state["stats"].items()}
+    elif kind == "ensemble":
+        out = EnsembleModel(models=[restore(m) for m in state["members"]])
+        out.members = list(out.models)
+    elif kind == "stacked":
+        one, two = (restore(m) for m in state["models"])
+        out = StackedModel(one, two, state["augment"])
+        out.one, out.two = one, two
+    elif kind == "cascade":
+        thresholds, names = state["bins"]
+        experts = {k: restore(m) for k, m in state["experts"].items()}
+        out = RoutedModel(restore(state["router"]), experts, lambda df, p: route(p, thresholds, names))
+        out.fitted_router, out.fitted, out.bins = out.router, experts, (thresholds, names)
+    else:
+        raise ValueError(f"unknown kind of model {kind!r}")
+    out.features = list(state["features"])
+    return out

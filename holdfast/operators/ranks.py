@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions import hash_key
+from holdfast.functions import fresh, hash_key
 from holdfast.spec import DataError
 
+_BUCKET, _COUNT, _BEFORE, _HASH, _X, _PART, _POS, _OWN = (fresh(n) for n in ("bucket", "count", "before", "hash", "x", "part", "pos", "own"))
 #: Hex digits that make a bucket of a hash order; quantiles that cut any other order.
 HEX, QUANTILES = 3, 256
 #: Rows that permuted() takes at most: its permutation is drawn on the driver.
@@ -24,36 +25,36 @@ PERMUTED_ROWS = 10_000_000
 
 def _numbered(df: DataFrame, bucket: Column, order: list[Column], name: str, within: Sequence[str]) -> DataFrame:
     within = list(within)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*within, "_bucket").agg(F.count("*").alias("_count"))
-    before = F.sum("_count").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("_count")
-    offsets = counts.withColumn("_before", before).drop("_count")
+    rows = df.withColumn(_BUCKET, bucket)
+    counts = rows.groupBy(*within, _BUCKET).agg(F.count("*").alias(_COUNT))
+    before = F.sum(_COUNT).over(Window.partitionBy(*within).orderBy(_BUCKET)) - F.col(_COUNT)
+    offsets = counts.withColumn(_BEFORE, before).drop(_COUNT)
     same = F.lit(True)
-    for c in [*within, "_bucket"]:
-        offsets = offsets.withColumnRenamed(c, f"_o{c}")
-        same = same & F.col(c).eqNullSafe(F.col(f"_o{c}"))
+    for c in [*within, _BUCKET]:
+        offsets = offsets.withColumnRenamed(c, f"{_OWN}{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"{_OWN}{c}"))
     if not within:
         offsets = F.broadcast(offsets)  # 16 ** HEX or QUANTILES + 1 rows
-    number = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order))
-    out = rows.join(offsets, same).withColumn(name, F.col("_before") + number - 1)
-    return out.drop("_bucket", "_before", *[f"_o{c}" for c in [*within, "_bucket"]])
+    number = F.row_number().over(Window.partitionBy(*within, _BUCKET).orderBy(*order))
+    out = rows.join(offsets, same).withColumn(name, F.col(_BEFORE) + number - 1)
+    return out.drop(_BUCKET, _BEFORE, *[f"{_OWN}{c}" for c in [*within, _BUCKET]])
 
 
 def hash_ranked(df: DataFrame, id_cols: Sequence[str], seed: int, name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
     """Add the 0-based rank in the hash order of the ids (ties by id), within equal values of some columns or overall."""
-    df = df.withColumn("_hash", hash_key(id_cols, seed))
-    return _numbered(df, F.substring("_hash", 1, HEX), [F.col("_hash"), *[F.col(c) for c in id_cols]], name, within).drop("_hash")
+    df = df.withColumn(_HASH, hash_key(id_cols, seed))
+    return _numbered(df, F.substring(_HASH, 1, HEX), [F.col(_HASH), *[F.col(c) for c in id_cols]], name, within).drop(_HASH)
 
 
 def ordered(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
     """Add the 0-based rank in the order of some columns (nulls first); the first one must be a number or a time."""
     kind = df.schema[order[0]].dataType.typeName()
     x = F.unix_micros(F.col(order[0]).cast("timestamp")) if "timestamp" in kind or kind == "date" else F.col(order[0])
-    rows = df.withColumn("_x", x)
-    cuts = rows.agg(F.percentile_approx("_x", [i / QUANTILES for i in range(1, QUANTILES)], 10_000)).first()[0]
+    rows = df.withColumn(_X, x)
+    cuts = rows.agg(F.percentile_approx(_X, [i / QUANTILES for i in range(1, QUANTILES)], 10_000)).first()[0]
     cuts = sorted(set(cuts or []))
-    bucket = F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_x"))) if cuts else F.lit(0))
-    return _numbered(rows, bucket, [F.col(c) for c in order], name, ()).drop("_x")
+    bucket = F.when(F.col(_X).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(_X))) if cuts else F.lit(0))
+    return _numbered(rows, bucket, [F.col(c) for c in order], name, ()).drop(_X)
 
 
 def permuted(df: DataFrame, order: Sequence[str], seed: int, name: str = "rank", within: str | None = None, sort: str | None = None) -> DataFrame:
@@ -68,13 +69,13 @@ def permuted(df: DataFrame, order: Sequence[str], seed: int, name: str = "rank",
     draw = np.random.RandomState(seed)
     places = [np.argsort(draw.permutation(p["n"])) for p in parts]
     sizes = [len(p) for p in places]
-    table = {"_pos": np.concatenate([np.arange(n) for n in sizes]), name: np.concatenate(places)}
+    table = {_POS: np.concatenate([np.arange(n) for n in sizes]), name: np.concatenate(places)}
     if within:
-        table |= {"_part": np.repeat([str(p[within]) for p in parts], sizes)}
-    numbered = df.withColumn("_part", F.coalesce(F.col(within).cast("string"), F.lit("None")) if within else F.lit(""))
-    numbered = numbered.withColumn("_pos", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).cast("long"))
+        table |= {_PART: np.repeat([str(p[within]) for p in parts], sizes)}
+    numbered = df.withColumn(_PART, F.coalesce(F.col(within).cast("string"), F.lit("None")) if within else F.lit(""))
+    numbered = numbered.withColumn(_POS, (F.row_number().over(Window.partitionBy(_PART).orderBy(*order)) - 1).cast("long"))
     found = df.sparkSession.createDataFrame(pa.table({c: pa.array(v) for c, v in table.items()}))
-    return numbered.join(found, ["_part", "_pos"] if within else "_pos").select(*[F.col(f"`{c}`") for c in df.columns], name)
+    return numbered.join(found, [_PART, _POS] if within else _POS).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:

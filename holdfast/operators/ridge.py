@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions import fresh
+
 
 def gram_columns(features: Sequence[str], y: str) -> list[Column]:
     """Aggregates of the upper triangle of X'X and of X'y, X with a last column of ones."""
@@ -31,11 +34,6 @@ def ridge_solve(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1
     return solve(df.agg(*gram_columns(features, y)).first(), len(features), alpha)
 
 
-def ridge_by(df: DataFrame, features: Sequence[str], y: str, by: str, alpha: float = 1.0) -> dict:
-    """Weights for each value of a column of few values, from one pass."""
-    return {r[by]: solve(r, len(features), alpha) for r in df.groupBy(by).agg(*gram_columns(features, y)).collect()}
-
-
 def ridge_out_of_fold(folded: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> dict[int, np.ndarray]:
     """Weights for each fold, from the other folds: sums of all folds less the fold's own, one pass for all."""
     rows = folded.groupBy("fold").agg(*gram_columns(features, y)).collect()
@@ -60,51 +58,72 @@ def predict_by(df: DataFrame, features: Sequence[str], weights: dict, by: str, n
     return df.withColumn(name, out)
 
 
+def _solver(d: int, alpha: float):
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = [solve(r, d, alpha).tolist() for r in batch.to_pylist()]
+            rest = [c for c in batch.schema.names if not c.startswith(("g_", "b_"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(weights, pa.list_(pa.float64()))], [*rest, "w"])
+
+    return solved
+
+
 class HierarchicalRidge:
     """Ridge models of nested groups, each shrunk towards its parent's: (1 - shrinkage) * own + shrinkage * parent's.
 
     The sums for all levels come from one rollup. A group with fewer than min_samples rows (a number, or one a level;
     levels past the list take the first) has no model, nor have its subgroups. A row takes the model of its deepest
-    group that has one, else the global one. Weights lie in a table joined level by level.
+    group that has one, else the global one. The weights of a level are a table (k0, k1, ..., w), groups in their own
+    types (null is a group too), solved on the executors and joined level by level; nothing is collected.
     """
 
     def __init__(self, features: Sequence[str], y: str, groups: Sequence[str], alpha: float = 1.0, shrinkage: float = 0.2, min_samples: int | Sequence[int] = 10):
         self.features, self.y, self.groups = list(features), y, list(groups)
         self.alpha, self.shrinkage, self.min_samples = alpha, shrinkage, min_samples
-        self.weights: dict[tuple, np.ndarray] | None = None
+        self.levels: list[DataFrame] | None = None
 
     def _least(self, level: int) -> int:
         m = self.min_samples
         return m if isinstance(m, int) else m[level] if level < len(m) else m[0]
 
     def fit(self, df: DataFrame) -> HierarchicalRidge:
-        deep = len(self.groups)
-        sums = df.rollup(*self.groups).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *gram_columns(self.features, self.y)).collect()
-        by = {}
-        for r in sums:
-            level = deep - bin(r["_level"]).count("1")
-            by[tuple(r[g] for g in self.groups[:level])] = r
-        self.weights = {(): solve(by[()], len(self.features), self.alpha)} if () in by else {}
-        for key in sorted((k for k in by if k), key=len):
-            parent = self.weights.get(key[:-1])
-            if parent is not None and by[key]["_n"] >= self._least(len(key) - 1):
-                own = solve(by[key], len(self.features), self.alpha)
-                self.weights[key] = (1 - self.shrinkage) * own + self.shrinkage * parent
+        deep, d = len(self.groups), len(self.features)
+        keys = [f"k{i}" for i in range(deep)]
+        rows = df.select(*[F.col(g).alias(k) for g, k in zip(self.groups, keys)], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.features)], F.col(self.y).cast("double").alias("y"))
+        sums = rows.rollup(*keys).agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), *gram_columns([f"x{i}" for i in range(d)], "y"))
+        # Each bit of gid stands for a group that is rolled up, the last group lowest.
+        sums = sums.where("n > 0").withColumn("level", F.lit(deep) - F.bit_count("gid")).drop("gid").persist()
+        told = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "n long, level int, w array<double>"])
+        solved = [sums.where((F.col("level") == level) & (F.col("n") >= (self._least(level - 1) if level else 0))).mapInArrow(_solver(d, self.alpha), told).select(*keys[:level], "w") for level in range(deep + 1)]
+        self.levels = [solved[0]]
+        for level in range(1, deep + 1):
+            parent = self.levels[-1].withColumnsRenamed({**{k: f"p{k}" for k in keys}, "w": "pw"})
+            same = F.lit(True)
+            for k in keys[: level - 1]:
+                same = same & F.col(k).eqNullSafe(F.col(f"p{k}"))
+            if level == 1:
+                parent = F.broadcast(parent)  # one row
+            mixed = F.zip_with("w", "pw", lambda own, up: (1 - self.shrinkage) * own + self.shrinkage * up)
+            self.levels.append(solved[level].join(parent, same).select(*keys[:level], mixed.alias("w")))
+        self.levels = [t.persist() for t in self.levels]
         return self
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        if self.weights is None:
+        if self.levels is None:
             raise RuntimeError("fit() comes first")
-        spark, found = df.sparkSession, []
-        for level in range(1, len(self.groups) + 1):
-            keys = [(*map(str, k), [float(x) for x in w]) for k, w in self.weights.items() if len(k) == level]
-            cols = ", ".join(f"_k{level}_{i} string" for i in range(level))
-            table = spark.createDataFrame(keys, f"{cols}, _w{level} array<double>")
-            df = df.join(table, [F.col(self.groups[i]).cast("string") == F.col(f"_k{level}_{i}") for i in range(level)], "left").drop(*[f"_k{level}_{i}" for i in range(level)])
-            found.insert(0, F.col(f"_w{level}"))
-        w = F.coalesce(*found, F.lit([float(x) for x in self.weights[()]]))
-        out = sum((F.col(c).cast("double") * w[i] for i, c in enumerate(self.features)), w[len(self.features)])
-        return df.withColumn(name, out).drop(*[f"_w{i}" for i in range(1, len(self.groups) + 1)])
+        own, found = fresh("key"), []
+        out = df
+        for level, table in enumerate(self.levels):
+            w = fresh("w")
+            table = table.withColumnsRenamed({**{f"k{i}": f"{own}{i}" for i in range(level)}, "w": w})
+            same = F.lit(True)
+            for i in range(level):
+                same = same & F.col(self.groups[i]).eqNullSafe(F.col(f"{own}{i}"))
+            out = out.join(table if level else F.broadcast(table), same, "left").drop(*[f"{own}{i}" for i in range(level)])  # level 0: one row
+            found.insert(0, w)
+        w = F.coalesce(*[F.col(c) for c in found])
+        value = sum((F.col(c).cast("double") * w[i] for i, c in enumerate(self.features)), w[len(self.features)])
+        return out.withColumn(name, value).drop(*found)
 
     def fit_predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
         return self.fit(df).predict(df, name)

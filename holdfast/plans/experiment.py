@@ -124,6 +124,12 @@ class Experiment:
             out = out.unionByName(p)
         return out
 
+    @property
+    def dev_predictions(self) -> DataFrame | None:
+        """All open rows with pred and fold; null where no fold tested the row."""
+        oof, ids = self.oof, list(self.spec.id_cols)
+        return None if oof is None else self.data.dev.join(oof.select(*ids, "pred", "fold"), ids, "left")
+
     def recap(self, brackets=None) -> dict | None:
         """Nested results, or None if nothing was recorded."""
         oof, y = self.oof, self.spec.target

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +13,14 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import derived_seed, digitize, nan_to_null, route, sigmoid
 from holdfast.operators import checks, dedup, hint, metrics, models, preprocess, ridge, splits
+from holdfast.operators.holdout import load_dataset
 from holdfast.operators.nn import NetConfig
 from holdfast.operators.ranks import quantiles
+from holdfast.plans.experiment import Experiment
 from holdfast.plans.pipeline import Pipeline
-from holdfast.sources.history import METRICS, SCHEMA, RunHistory
-from holdfast.spec import DatasetSpec
+from holdfast.plans.research import Research
+from holdfast.sources.history import METRICS, SCHEMA, RunHistory, load_runs
+from holdfast.spec import DatasetSpec, ExperimentConfig
 
 SEED = 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,9 +127,9 @@ def label_conflicts(spark, d):
 
 @query(
     "fingerprint_check",
-    """WITH e AS (SELECT vec_id, label AS g, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS m FROM embeddings),
+    """WITH e AS (SELECT vec_id, label AS g, list_transform(embedding[1:64], lambda x: x::DOUBLE) AS x, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS m FROM embeddings),
 t AS (SELECT *, m > 1 AND r < greatest(1, floor(m * 0.2::DOUBLE)) AS test FROM e),
-l AS (SELECT vec_id, g, test, i, x[i] AS v FROM t, range(1, 9) s(i)),
+l AS (SELECT vec_id, g, test, i, x[i] AS v FROM t, range(1, 65) s(i)),
 st AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM l WHERE NOT test GROUP BY i),
 z AS (SELECT vec_id, g, test, i, (v - a) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM l JOIN st USING (i)),
 c AS (SELECT g AS c, i, avg(z) AS centre FROM z WHERE NOT test GROUP BY ALL),
@@ -132,7 +139,7 @@ k AS (SELECT count(DISTINCT label) AS n_groups FROM embeddings), sc AS (SELECT c
 SELECT n_groups, n_test, round(accuracy, 6) AS accuracy, round(1.0 / n_groups, 6)::DOUBLE AS chance, round(accuracy * n_groups, 6) AS ratio, CASE WHEN accuracy * n_groups < 3 THEN 'low' WHEN accuracy * n_groups < 10 THEN 'medium' ELSE 'high' END AS risk FROM k, sc""",
 )
 def fingerprint(spark, d):
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(64)]
     df = load(spark, d, "embeddings").select("vec_id", F.col("label").alias("g"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     out = checks.fingerprint_check(df, DatasetSpec("vec_id", cols, group="g"))
     return out.withColumns({c: r(c) for c in ("accuracy", "chance", "ratio")})
@@ -369,6 +376,23 @@ def hier_ridge(spark, d):
     return model.fit_predict(df).select(*LINEITEM_ID, r("pred", 4).alias("pred"))
 
 
+_AGG = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy"
+_WB = f"{_SLOPE} AS w, (sy - {_SLOPE} * sx) / n AS c"
+
+
+@query(
+    "hier_ridge_typed_groups",
+    f"""WITH i AS (SELECT *, l_quantity AS x, l_extendedprice AS y, l_discount > 0.05::DOUBLE AS cheap, nullif(l_returnflag, 'N') AS flag FROM lineitem),
+g AS (SELECT {_WB} FROM (SELECT {_AGG} FROM i)), a AS (SELECT cheap, {_WB} FROM (SELECT cheap, {_AGG} FROM i GROUP BY cheap)), b AS (SELECT cheap, flag, {_WB} FROM (SELECT cheap, flag, {_AGG} FROM i GROUP BY cheap, flag)),
+m AS (SELECT b.cheap, b.flag, 0.8::DOUBLE * b.w + 0.2::DOUBLE * (0.8::DOUBLE * a.w + 0.2::DOUBLE * g.w) AS w, 0.8::DOUBLE * b.c + 0.2::DOUBLE * (0.8::DOUBLE * a.c + 0.2::DOUBLE * g.c) AS c FROM b JOIN a ON a.cheap = b.cheap, g)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(w * x + c, 4) AS pred FROM i JOIN m ON m.cheap = i.cheap AND m.flag IS NOT DISTINCT FROM i.flag""",
+)
+def hier_ridge_typed_groups(spark, d):
+    """A boolean group and one with nulls."""
+    df = load(spark, d, "lineitem").withColumns({"cheap": F.col("l_discount") > 0.05, "flag": F.expr("nullif(l_returnflag, 'N')")})
+    return ridge.HierarchicalRidge(["l_quantity"], "l_extendedprice", ["cheap", "flag"]).fit_predict(df).select(*LINEITEM_ID, r("pred", 4).alias("pred"))
+
+
 # Hints and routes
 @query("y_hint", f"WITH {_GUESS} SELECT o_orderkey, round(1 / (1 + exp(-greatest(-20.0::DOUBLE, least(20.0::DOUBLE, (pred - 165000.0::DOUBLE) / 5000.0::DOUBLE)))), 6) AS ind_0, round(1 / (1 + exp(-greatest(-20.0::DOUBLE, least(20.0::DOUBLE, (pred - 190000.0::DOUBLE) / 5000.0::DOUBLE)))), 6) AS ind_1, round(pred, 6) AS pred FROM p")
 def y_hint(spark, d):
@@ -388,8 +412,9 @@ def route_digitize(spark, d):
 
 @query("routing_distribution", "SELECT CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS route, count(*) AS n FROM orders GROUP BY 1")
 def routing_distribution(spark, d):
-    key = route(F.col("o_totalprice"), [100000.0, 300000.0], ["low", "mid", "high"])
-    return load(spark, d, "orders").groupBy(key.alias("route")).agg(F.count("*").alias("n"))
+    df, names = orders(spark, d), ["low", "mid", "high"]
+    model = models.RoutedModel(None, {n: models.RidgeModel() for n in names}, lambda df, _: route(F.col("o_totalprice"), [100000.0, 300000.0], names))
+    return model.fit(df, ["day"], "o_totalprice", ["o_orderkey"]).routing_distribution(df)
 
 
 @query("range_predicate", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 300000")
@@ -434,6 +459,101 @@ def step_pipeline(spark, d):
     return p.predict().select("o_orderkey", r("pred", 4).alias("pred"))
 
 
+# Compound models of ridge members, which SQL can state
+_SPLIT = f"{_ORDERS}, t AS (SELECT o_orderkey, day AS x, o_totalprice AS y, CASE WHEN {_RANK.format(k='o_orderkey')} < floor((1 - 0.2::DOUBLE) * (SELECT count(*) FROM orders)) THEN 'train' ELSE 'test' END AS role FROM o)"
+
+
+def _tested(spark, d, model) -> DataFrame:
+    rows = splits.train_test(orders(spark, d), ["o_orderkey"], 0.2, SEED).persist()
+    fitted = model.fit(rows.where("role = 'train'"), ["day"], "o_totalprice", ["o_orderkey"])
+    return fitted.predict(rows.where("role = 'test'")).select("o_orderkey", r("pred", 4).alias("pred"))
+
+
+@query(
+    "stacked_ridge",
+    f"""WITH {_SPLIT}, tr AS (SELECT *, CAST(least((row_number() OVER (ORDER BY o_orderkey) - 1) // (count(*) OVER () // 3), 2) AS INT) AS fold FROM t WHERE role = 'train'),
+s AS (SELECT k, {_WB} FROM (SELECT k.fold AS k, {_AGG} FROM tr JOIN (SELECT DISTINCT fold FROM tr) k ON tr.fold <> k.fold GROUP BY k.fold)),
+one AS (SELECT {_WB} FROM (SELECT {_AGG} FROM tr)), two AS (SELECT {_WB} FROM (SELECT {_AGG} FROM (SELECT s.w * x + s.c AS x, y FROM tr JOIN s ON s.k = fold)))
+SELECT o_orderkey, round(two.w * (one.w * x + one.c) + two.c, 4) AS pred FROM t, one, two WHERE role = 'test'""",
+)
+def stacked_ridge(spark, d):
+    return _tested(spark, d, models.StackedModel(models.RidgeModel(), models.RidgeModel(), "replace", 3))
+
+
+@query(
+    "ensemble_ridge",
+    f"""WITH {_SPLIT}, s AS (SELECT {_AGG} FROM t WHERE role = 'train'), a AS (SELECT {_WB} FROM s), b AS (SELECT {_WB.replace('sxx + 1', 'sxx + 1000000')} FROM s)
+SELECT o_orderkey, round((a.w * x + a.c + b.w * x + b.c) / 2, 4) AS pred FROM t, a, b WHERE role = 'test'""",
+)
+def ensemble_ridge(spark, d):
+    return _tested(spark, d, models.EnsembleModel(models=[models.RidgeModel(1.0), models.RidgeModel(1_000_000.0)]))
+
+
+@query(
+    "cascade_ridge",
+    f"""WITH {_SPLIT}, tr AS (SELECT * FROM t WHERE role = 'train'), g AS (SELECT {_WB} FROM (SELECT {_AGG} FROM tr)),
+a AS (SELECT {_WB} FROM (SELECT {_AGG} FROM tr WHERE y >= 0 AND y < 300000)), b AS (SELECT {_WB} FROM (SELECT {_AGG} FROM tr WHERE y >= 200000 AND y < 1000000))
+SELECT o_orderkey, round(CASE WHEN g.w * x + g.c < 250000 THEN a.w * x + a.c ELSE b.w * x + b.c END, 4) AS pred FROM t, g, a, b WHERE role = 'test'""",
+)
+def cascade_ridge(spark, d):
+    bins = (models.BinConfig("low", models.RidgeModel(), (0.0, 300_000.0)), models.BinConfig("high", models.RidgeModel(), (200_000.0, 1_000_000.0)))
+    return _tested(spark, d, models.build_cascade(models.CascadeConfig(models.RidgeModel(), (250_000.0,), bins)))
+
+
+# Validated data, a holdout, an experiment and a workbench: one order of each day
+DAILY = DatasetSpec("o_orderkey", "day", "o_totalprice")
+_DAILY = f"""{_ORDERS.replace('FROM orders', 'FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) = 1')},
+h AS (SELECT o_orderkey, day AS x, o_totalprice AS y, {_RANK.format(k='o_orderkey')} < greatest(1, floor((SELECT count(*) FROM o) * 0.15::DOUBLE)) AS held FROM o),
+dev AS (SELECT * FROM h WHERE NOT held), f AS (SELECT *, CAST(least(({_RANK.format(k='o_orderkey')}) // (count(*) OVER () // 5), 4) AS INT) AS fold FROM dev),
+s AS (SELECT k, {_WB} FROM (SELECT k.fold AS k, {_AGG} FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold)), g AS (SELECT {_WB} FROM (SELECT {_AGG} FROM dev)),
+p AS (SELECT o_orderkey, fold, y, w * x + c AS pred FROM f JOIN s ON s.k = fold), q AS (SELECT o_orderkey, y, w * x + c AS pred FROM h, g WHERE held)"""
+_CONFIG = ExperimentConfig(dedup="keep-first", stratify=False)
+
+
+def daily(spark, d):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # most rows share a day with another
+        return load_dataset(orders(spark, d), DAILY, _CONFIG)
+
+
+@query("sanctified_dataset", f"WITH {_DAILY} SELECT o_orderkey, x AS day FROM dev")
+def sanctified_dataset(spark, d):
+    return daily(spark, d).dev.select("o_orderkey", "day")
+
+
+@query("dev_folds", f"WITH {_DAILY} SELECT k.fold, CASE WHEN f.fold = k.fold THEN 'test' ELSE 'train' END AS role, o_orderkey FROM f, (SELECT DISTINCT fold FROM f) k")
+def dev_folds(spark, d):
+    return daily(spark, d).dev_folds(5)[0].select("fold", "role", "o_orderkey")
+
+
+@query("experiment_oof", f"WITH {_DAILY} SELECT o_orderkey, fold, round(pred, 4) AS pred FROM p")
+def experiment_oof(spark, d):
+    x = Experiment(daily(spark, d), _CONFIG)
+    x.evaluate_dev(models.RidgeModel)
+    return x.oof.select("o_orderkey", "fold", r("pred", 4).alias("pred"))
+
+
+@query("experiment_final", f"WITH {_DAILY} SELECT o_orderkey, round(pred, 4) AS pred FROM q")
+def experiment_final(spark, d):
+    return Experiment(daily(spark, d), _CONFIG).run(models.RidgeModel, verbose=False).final.select("o_orderkey", r("pred", 4).alias("pred"))
+
+
+@query(
+    "research_history",
+    f"""WITH {_DAILY}, d AS (SELECT fold, avg(abs(y - pred)) AS mae, sqrt(avg((y - pred) ** 2)) AS rmse FROM p GROUP BY fold)
+SELECT 'plain' AS experiment, round(avg(mae), 4) AS dev_mae, round(stddev_pop(mae), 4) AS dev_mae_std, round(avg(rmse), 4) AS dev_rmse, (SELECT round(avg(abs(y - pred)), 4) FROM q) AS sanctified_mae, (SELECT round(sqrt(avg((y - pred) ** 2)), 4) FROM q) AS sanctified_rmse FROM d""",
+)
+def research_history(spark, d):
+    """A run of the workbench, remembered, and read back from disk."""
+    where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/holdfast_{uuid.uuid4().hex}"
+    lab = Research(spark, "daily", lambda data_dir, config: daily(spark, data_dir), _CONFIG, save_dir=where)
+    lab.new_experiment("plain", lambda ctx: models.RidgeModel())
+    with contextlib.redirect_stdout(io.StringIO()):
+        lab.run(data_dir=d)
+    names = ["dev_mae", "dev_mae_std", "dev_rmse", "sanctified_mae", "sanctified_rmse"]
+    return RunHistory(load_runs(spark, where)).scores().select("experiment", *[r(m, 4).alias(m) for m in names])
+
+
 # History
 _RUNS = [("2024-01-01T00:00:00+00:00", False, {"a": 5.0, "b": 7.0}), ("2024-01-02T00:00:00+00:00", True, {"a": 4.5}), ("2024-01-03T00:00:00+00:00", False, {"a": 4.75, "b": 6.0}), ("2024-01-04T00:00:00+00:00", False, {"b": 6.0})]
 _RUN_SQL = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(q).lower()}, '{e}', {v}::DOUBLE, {100 - v}::DOUBLE)" for t, q, x in _RUNS for e, v in x.items()) + ") t(timestamp, quick, experiment, mae, r2))"

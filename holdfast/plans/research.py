@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from holdfast.operators.holdout import SanctifiedDataset
 from holdfast.plans.experiment import Experiment, print_comparison, print_recap
+from holdfast.plans.pipeline import Pipeline
 from holdfast.sources.history import Notes, RunHistory, append_run, config_record, load_runs, now
 from holdfast.sources.snapshots import load_snapshot, save_snapshot
 from holdfast.spec import ExperimentConfig, RunContext
@@ -102,7 +103,7 @@ class Research:
             x.record_final(predictions)
             if e.after is not None:
                 e.after(model, held, ctx)
-            recaps[name], learned[name] = x.recap(), model.analyze()
+            recaps[name], learned[name] = x.recap(), model
             print_recap(recaps[name])
         print_comparison(recaps)
         record = self.record(ctx, recaps, time.time() - began)
@@ -110,7 +111,8 @@ class Research:
         if self.save_dir is not None:
             append_run(self.spark, self.save_dir, record)
             for name, x in tried.items():
-                save_snapshot(self.save_dir, name, x.oof, x._final, learned[name])
+                model = learned[name]
+                save_snapshot(self.save_dir, name, x.dev_predictions, x._final, model.analyze(), model=model.model_ if isinstance(model, Pipeline) else model)
         return recaps
 
     def record(self, ctx: RunContext, recaps: dict, elapsed: float) -> dict:
@@ -125,6 +127,7 @@ class Research:
         return RunHistory(load_runs(self.spark, self.save_dir, self._records))
 
     def load_snapshot(self, name: str) -> dict:
+        """Its model is that of the experiment; of a pipeline it takes the rows that the steps give."""
         return load_snapshot(self.spark, self.save_dir, name)
 
     def note(self, text: str, run: dict | None = None) -> None:

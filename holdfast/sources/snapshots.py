@@ -1,4 +1,4 @@
-"""Snapshots of experiments: predictions as Parquet, what a model learned as JSON."""
+"""Snapshots of experiments: predictions as Parquet, what a model learned and the model itself as JSON."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.operators.models import Model, restore
+
 #: Bytes of a model's JSON beyond which it isn't stored unless forced.
 LIMIT = 5_000_000
 
@@ -23,13 +25,13 @@ def _plain(x):
     return x
 
 
-def save_snapshot(save_dir: str, name: str, oof: DataFrame, final: DataFrame | None, learned: dict, force: bool = False) -> bool:
-    """Write predictions (dev rows without one stay null) and, if it is small enough, what the model learned. False if it wasn't."""
+def save_snapshot(save_dir: str, name: str, oof: DataFrame, final: DataFrame | None, learned: dict, force: bool = False, model: Model | None = None) -> bool:
+    """Write predictions (dev rows without one stay null) and, if it is small enough, what the model learned and its state. False if it wasn't."""
     base = f"{save_dir}/snapshots/{name}"
     oof.write.mode("overwrite").parquet(f"{base}/oof")
     if final is not None:
         final.write.mode("overwrite").parquet(f"{base}/sanctified")
-    text = json.dumps(_plain(learned))
+    text = json.dumps({"learned": _plain(learned), "state": _plain(model.state() if model is not None else None)})
     if len(text) > LIMIT and not force:
         return False
     spark = oof.sparkSession
@@ -38,7 +40,8 @@ def save_snapshot(save_dir: str, name: str, oof: DataFrame, final: DataFrame | N
 
 
 def load_snapshot(spark: SparkSession, save_dir: str | None, name: str) -> dict:
-    """oof, sanctified (if there is one) and learned (None if it was too large)."""
+    """oof, sanctified (if there is one), learned, and model, which predicts (both None if they were too large; model also if its
+    state can't be told, see Model.state)."""
     if save_dir is None:
         raise ValueError("no save_dir")
     jvm, base = spark.sparkContext._jvm, f"{save_dir}/snapshots/{name}"
@@ -49,7 +52,8 @@ def load_snapshot(spark: SparkSession, save_dir: str | None, name: str) -> dict:
 
     if not there("oof"):
         raise FileNotFoundError(base)
-    out = {"oof": spark.read.parquet(f"{base}/oof"), "learned": json.loads(spark.read.schema("learned string").json(f"{base}/model").first()[0]) if there("model") else None}
+    told = json.loads(spark.read.schema("learned string").json(f"{base}/model").first()[0]) if there("model") else {"learned": None, "state": None}
+    out = {"oof": spark.read.parquet(f"{base}/oof"), "learned": told["learned"], "model": restore(told["state"]) if told["state"] else None}
     if there("sanctified"):
         out["sanctified"] = spark.read.parquet(f"{base}/sanctified")
     return out

@@ -10,7 +10,8 @@ from holdfast.functions import derive_seeds, digitize, hash_key, sigmoid
 from holdfast.operators import checks, dedup, ensembles, metrics, preprocess, ridge, splits
 from holdfast.operators.holdout import SanctifiedDataset, ValidatedDataset, load_dataset
 from holdfast.operators.models import BinConfig, CascadeConfig, EnsembleModel, NLModel, RidgeModel, RoutedModel, StackedModel, build_cascade
-from holdfast.operators.nn import NetConfig, run_network, train_network
+from holdfast.operators import nn
+from holdfast.operators.nn import NetConfig, run_network, train_stack
 from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles
 from holdfast.plans.experiment import Experiment
 from holdfast.plans.pipeline import Pipeline, Step, register_step_type
@@ -200,7 +201,7 @@ def test_ridge(spark, planted):
     sub = planted.withColumn("h", F.when(F.col("id") < 5, "few").otherwise("many"))
     model = ridge.HierarchicalRidge(["x1", "x2"], "y", ["h", "g"], 1.0, 0.2, [10, 1]).fit(sub)
     few = model.predict(sub.where("h = 'few'")).orderBy("id").collect()
-    whole = ridge.ridge_predict(sub.where("h = 'few'"), ["x1", "x2"], model.weights[()]).orderBy("id").collect()
+    whole = ridge.ridge_predict(sub.where("h = 'few'"), ["x1", "x2"], model.levels[0].first()["w"]).orderBy("id").collect()
     assert [r["pred"] for r in few] == pytest.approx([r["pred"] for r in whole])
 
 
@@ -209,7 +210,7 @@ def test_network_matches_its_trainer(spark, planted):
     model = NLModel(c).fit(planted.repartition(5), ["x1", "x2"], "y", ["id"])
     rows = planted.orderBy("id").toPandas()
     x = (rows[["x1", "x2"]] - rows[["x1", "x2"]].mean()) / rows[["x1", "x2"]].std(ddof=0)
-    want = run_network(x.to_numpy(), train_network(x.to_numpy(), rows["y"].to_numpy(), c))
+    want = run_network(x.to_numpy(), train_stack(x.to_numpy(), rows["y"].to_numpy(), [c])[0])
     got = [r["pred"] for r in model.predict(planted).orderBy("id").collect()]
     assert got == pytest.approx(want, rel=1e-6)
     with pytest.raises(RuntimeError):
@@ -217,6 +218,54 @@ def test_network_matches_its_trainer(spark, planted):
     assert model.analyze()["n_params"] == 13
 
 
+def test_network_follows_the_gradient():
+    """Steps against derivatives of the loss found by finite differences, of two networks at once."""
+    r = np.random.RandomState(5)
+    x, y = r.randn(40, 3), 10 * r.randn(40)
+    configs = [NetConfig(hidden_sizes=(4, 2), epochs=3, seed=s, huber_delta=d, clip_grad=g) for s, d, g in ((1, 2.0, 0.05), (2, 100.0, 50.0))]
+    for c, got in zip(configs, train_stack(x, y, configs)):
+        draw = np.random.RandomState(c.seed)
+        net = [p for a, b in ((3, 4), (4, 2), (2, 1)) for p in (draw.randn(a, b) * np.sqrt(2 / a), np.zeros(b))]
+        pace = [np.zeros_like(p) for p in net]
+
+        def loss():
+            miss = np.abs(run_network(x, net) - y)
+            return np.where(miss <= c.huber_delta, miss**2 / 2, c.huber_delta * (miss - c.huber_delta / 2)).mean()
+
+        for _ in range(c.epochs):
+            slopes = []
+            for k, p in enumerate(net):
+                slope = np.zeros_like(p)
+                for at in np.ndindex(p.shape):
+                    kept, values = p[at], []
+                    for p[at] in (kept + 1e-5, kept - 1e-5):
+                        values.append(loss())
+                    p[at] = kept
+                    slope[at] = (values[0] - values[1]) / 2e-5
+                slopes.append(slope + c.l2 * p if k % 2 == 0 else slope / len(y))
+            for p, v, slope in zip(net, pace, slopes):
+                v *= c.momentum
+                v -= c.lr * np.clip(slope, -c.clip_grad, c.clip_grad)
+                p += v
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got, net))
+
+
+def test_network_of_many_rows(planted, monkeypatch):
+    """A fold beyond a worker's bound trains over all partitions to the same network."""
+    configs = [NetConfig(hidden_sizes=(3,), epochs=6, seed=s) for s in (1, 2)]
+    rows = planted.withColumn("fold", F.lit(0)).repartition(3)
+    want = nn.train_many(rows, ["x1", "x2"], "y", ["id"], configs)
+    monkeypatch.setattr(nn, "LOCAL_ROWS", 10)
+    got = nn.train_many(rows, ["x1", "x2"], "y", ["id"], configs)
+    assert want.keys() == got.keys() and all(np.allclose(a, b) for k in want for a, b in zip(want[k], got[k]))
+
+
+def test_columns_of_any_name_pass(spark):
+    df = spark.range(20).select("id", *[F.lit(7).alias(c) for c in ("rank", "_bucket", "_count", "_g", "stratum", "_m", "_x", "hash")], (F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("y"))
+    for out, more in ((splits.kfold(df, ["id"], 4, 1), ["fold"]), (splits.grouped_kfold(df, "g", 2, 1), ["fold"]), (splits.contiguous_folds(df, ["id"], 4), ["fold"]), (splits.sanctified(df, ["id"], 0.3, 1, stratify="g"), ["split"]), (splits.temporal_split(df, ["id"], 0.3), ["split"])):
+        assert out.columns == [*df.columns, *more] and out.count() == 20 and out.select("rank", "_bucket", "_g", "stratum").distinct().count() == 1
+
+
 def test_ensembles_without_models(planted):
     cols = ["x1", "x2"]
     nets, stats = ensembles.fit_ensemble(planted.repartition(3), cols, "y", ["id"], (3,), 20, [1, 2])
@@ -240,15 +289,15 @@ def test_iter_folds(spark):
 
 
 def test_public_names_and_example(spark, tmp_path, monkeypatch, capsys):
-    from examples import orders_walkthrough
+    from examples import shipments_walkthrough
     from holdfast import api
 
     assert {"ValidatedDataset", "iter_folds", "fit_ensemble", "Research", "HierarchicalRidge"} <= set(api.__all__)
     monkeypatch.chdir(tmp_path)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        recaps = orders_walkthrough.main(["--quick", "--exp", "flat_ridge"])
-    assert recaps["flat_ridge"]["sanctified"]["n"] > 0 and "sanctified MAE" in capsys.readouterr().out
+        recaps = shipments_walkthrough.main(["--quick", "--exp", "plain"])
+    assert recaps["plain"]["sanctified"]["n"] > 0 and "sanctified MAE" in capsys.readouterr().out
 
 
 def test_compound_models(planted):
@@ -353,6 +402,8 @@ def test_research(spark, planted, tmp_path, capsys):
     assert {r["experiment"]: r["n_runs"] for r in runs.compare().collect()} == {"plain": 2, "strong": 1}
     assert runs.table().count() == 2
     snap = lab.load_snapshot("plain")
+    again = snap["model"].predict(snap["sanctified"].drop("pred"))
+    assert snap["sanctified"].select("id", F.round("pred", 6)).exceptAll(again.select("id", F.round("pred", 6))).isEmpty()
     assert snap["oof"].count() and snap["learned"]["weights"].keys() == {"x1", "x2"}
     with pytest.raises(FileNotFoundError):
         lab.load_snapshot("none")
