@@ -65,14 +65,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_verdicts(judged: DataFrame) -> DataFrame:
     """Rows (source, n, failed, shrunk_rate, host_failed) of hosts, from rows (source, base_failed).
 
-    With shares p of mean m and variance v over hosts, the prior is beta(m * s, (1 - m) * s), s = m * (1 - m) / v - 1; if v or
-    s isn't positive, all hosts have the mean share.
+    With shares p of mean m and variance v over hosts, the prior is beta(m * s, (1 - m) * s), s = m * (1 - m) / v - 1. If
+    v is 0 all hosts have the mean share; if s isn't positive (every host fails or passes whole) there is nothing to shrink.
     """
     hosts = judged.where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     p = F.col("failed") / F.col("n")
     prior = hosts.agg(F.avg(p).alias("m"), F.var_pop(p).alias("v")).withColumn("s", F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1))
     hosts = hosts.join(F.broadcast(prior))  # one row
-    rate = F.when(F.col("s") > 0, (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).otherwise(F.col("m"))
+    rate = F.when(F.col("s") > 0, (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).when(F.col("v") > 0, p).otherwise(F.col("m"))
     return hosts.withColumn("shrunk_rate", rate).select("source", "n", "failed", "shrunk_rate", (F.col("shrunk_rate") > HOST_LIMIT).alias("host_failed"))
 
 
@@ -105,8 +105,8 @@ base AS (
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN line USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 host AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source),
-prior AS (SELECT m, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 END AS s FROM (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM host)),
-bad AS (SELECT source FROM host, prior WHERE CASE WHEN s > 0 THEN (failed + m * s) / (n + s) ELSE m END > 0.5)
+prior AS (SELECT m, v, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 END AS s FROM (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM host)),
+bad AS (SELECT source FROM host, prior WHERE CASE WHEN s > 0 THEN (failed + m * s) / (n + s) WHEN v > 0 THEN failed / n ELSE m END > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
 FROM judged
 """

@@ -257,6 +257,9 @@ def test_rules_reject_a_host(spark):
     got = {r["source"]: r for r in op4_rules.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
     assert got["bad"]["host_failed"] and not got["h3"]["host_failed"] and None not in got
     assert got["new"]["shrunk_rate"] < 1
+    whole = [("junk", True)] * 9 + [("junk2", True)] * 3 + [("clean", False)] * 5
+    got = {r["source"]: r["host_failed"] for r in op4_rules.host_verdicts(spark.createDataFrame(whole, "source string, base_failed boolean")).collect()}
+    assert got == {"junk": True, "junk2": True, "clean": False}
 
 
 # 5
