@@ -297,7 +297,7 @@ def examples_of(doc_id: int | None, text: bytes) -> list[tuple[np.ndarray, np.nd
     add(text, [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] + [(a, b) for a, b, k in base_matches(text) if k], 2)
     words = [w.decode() for w in text.split()] if text else []
     if words:
-        for _ in range(2):
+        for _ in range(4):
             at = r.randrange(len(words))
             some, behind = words[at : at + 6], words[at + 6 : at + 12]
             before, said, after = _invented(r, words)
