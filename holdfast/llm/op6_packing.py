@@ -3,7 +3,8 @@
 The inverted index is sharded by content: a document's terms, its distinct tokens, are ranked by hashes that favour rare
 ones (those of high merge rank), so that documents which share rare terms are likely to have the same first and second
 term. Documents of a first term share a shard, or shards by second term if they are many, and what is still too large,
-such as very many copies, is dealt evenly. A shard holds about SHARD_DOCS documents, whole ones in its index.
+such as very many copies, is dealt evenly. A shard holds about SHARD_DOCS documents, whole ones in its index; a long one
+counts for as many as the windows that it reaches into, since long ones share their rarest terms and would fill a shard.
 
 A document fills whole windows of its own as far as it can; its rest is packed. A seed, the smallest unused document,
 opens a window; BM25 ranks the unused documents of the shard for it, and those whose rests fit go in by rank. The best
@@ -179,10 +180,11 @@ def _pack(window: int):
 
 
 def sharded(rows: DataFrame) -> DataFrame:
-    """Add shard and piece to a table with columns k1, k2 and row: groups of some SHARD_DOCS rows, 2 * SHARD_DOCS where terms are
-    shared by so many. The driver holds a row for each token of the vocabulary."""
+    """Add shard and piece to a table with columns k1, k2, row and doc_tokens: groups of some SHARD_DOCS rows, 2 * SHARD_DOCS where
+    terms are shared by so many; a row counts once for each WINDOW begun. The driver holds a row for each token of the vocabulary."""
+    size = F.sum(F.floor(F.col("doc_tokens") / WINDOW) + 1).alias("n")
     shard, room, plan = 0, SHARD_DOCS, []
-    for k1, n in sorted((r["k1"], r["count"]) for r in rows.groupBy("k1").count().collect()):
+    for k1, n in sorted((r["k1"], r["n"]) for r in rows.groupBy("k1").agg(size).collect()):
         parts = -(-n // SHARD_DOCS)
         if n > room:
             shard, room = shard + 1, SHARD_DOCS
@@ -193,7 +195,7 @@ def sharded(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     told = rows.join(F.broadcast(spark.createDataFrame(plan, "k1 int, base long, parts long")), "k1")  # a row for each token at most
     told = told.withColumn("shard", F.col("base") + F.pmod(F.xxhash64("k2"), F.col("parts"))).drop("base", "parts")
-    large = told.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_DOCS).select("shard", F.ceil(F.col("n") / SHARD_DOCS).alias("pieces"))
+    large = told.groupBy("shard").agg(size).where(F.col("n") > 2 * SHARD_DOCS).select("shard", F.ceil(F.col("n") / SHARD_DOCS).alias("pieces"))
     # A table, whose size is known before the join: a small one is broadcast, and the rows stay where they are.
     told = salted_join(told, written(large), "shard", "row", "left")
     return told.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")

@@ -411,13 +411,17 @@ def test_shards_hold_what_belongs_together(spark, monkeypatch):
             base[r.randint(0, 200, 4)] = r.randint(300, 49000, 4)
             rows.append((group, *op6_packing.first_terms(base)))
     rows += [(-1, 5, 6)] * 500
-    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "row long, group long, k1 int, k2 int")
+    df = spark.createDataFrame([(i, 200, *x) for i, x in enumerate(rows)], "row long, doc_tokens long, group long, k1 int, k2 int")
     got = op6_packing.sharded(df).collect()
     assert len(got) == 700 and max(collections.Counter((x["shard"], x["piece"]) for x in got).values()) <= 40
     places = collections.defaultdict(set)
     for x in got:
         places[x["group"]].add((x["shard"], x["piece"]))
     assert sum(len(places[g]) == 1 for g in range(100)) > 70
+    # Long documents of the same terms: a group holds about as many windows of them as of short ones.
+    long_ = df.where("group = -1").withColumn("doc_tokens", F.lit(9 * op6_packing.WINDOW).cast("long"))
+    got = op6_packing.sharded(long_).collect()
+    assert len(got) == 500 and max(collections.Counter((x["shard"], x["piece"]) for x in got).values()) <= 12
 
 
 # 7
