@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 import regex
 
-from holdfast.llm.textops import U, Words
+from holdfast.llm.textops import U, Words, same_spans
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+")
@@ -24,8 +24,8 @@ _BITS, _FREE, _SPREAD = 18, -1, 0x9E3779B1
 WIDE = 24
 #: Beyond so many parts a heap finds the smallest rank.
 SHORT = 200
-#: What one worker remembers: pre-tokens, and pieces between white space.
-WORDS_KEPT, PIECES_KEPT = 300_000, 2_000_000
+#: What one worker remembers: pre-tokens, pieces between white space, and bytes of those.
+WORDS_KEPT, PIECES_KEPT, BYTES_KEPT = 300_000, 2_000_000, 50_000_000
 
 
 def _byte_chars() -> list[str]:
@@ -70,6 +70,7 @@ class Vocabulary:
         self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.at = np.zeros(1, np.int64)
+        self.bytes, self.bytes_at = np.zeros(8, np.uint8), np.zeros(1, np.int64)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Ids of the bytes of one pre-token."""
@@ -198,17 +199,33 @@ class Vocabulary:
         known[inside] = self.keys[at[inside]] == keys[inside]
         return at, known
 
+    def _apart(self, words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_texts(), without hashes of pieces."""
+        raw = words.buf.tobytes()
+        ids = self.encode_pieces([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts.tolist(), words.ends.tolist())])
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        return np.array([i for x in ids for i in x], np.uint16), ends[words.first]
+
     def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's begin (and the last one's end)."""
+        """All ids one after another, and where each text's begin (and the last one's end).
+
+        A piece is looked up by a hash and compared with the bytes found there; if two pieces of one hash meet, the texts are
+        encoded without it.
+        """
         whole = b"".join(texts)
         # A-Z may go before normalisation unless they're part of a special token or take a combining mark.
         words = Words(texts, lower=b"<|" not in whole and b"\xcc" not in whole and b"\xcd" not in whole)
         if not len(words.starts):
             return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
         keys, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) > PIECES_KEPT:
+        if len(self.keys) > PIECES_KEPT or len(self.bytes) > BYTES_KEPT:
             self.forget()
         at, known = self._look_up(keys)
+        size, first = words.ends - words.starts, index[inverse]
+        met = self.slots[at[known]]
+        begin = self.bytes_at[met]
+        if not same_spans(words.buf, words.starts, size, words.buf, words.starts[first], size[first]) or not same_spans(words.buf, words.starts[index[known]], size[index[known]], self.bytes, begin, self.bytes_at[met + 1] - begin):
+            return self._apart(words, texts)
         new = np.flatnonzero(~known)
         if len(new):
             raw = words.buf.tobytes()
@@ -223,6 +240,8 @@ class Vocabulary:
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.at = np.concatenate((self.at, self.used + np.cumsum(sizes)))
             self.used += total
+            self.bytes = np.concatenate((self.bytes[:-8], np.frombuffer(b"".join(raw[a:b] for a, b in zip(words.starts[index[new]].tolist(), words.ends[index[new]].tolist())) + bytes(8), np.uint8)))
+            self.bytes_at = np.concatenate((self.bytes_at, self.bytes_at[-1] + np.cumsum(words.ends[index[new]] - words.starts[index[new]])))
             at, _ = self._look_up(keys)
         slot = self.slots[at]
         begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]

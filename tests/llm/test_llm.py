@@ -231,6 +231,19 @@ def test_bpe_like_the_library(spark, odd, small, none):
     assert op3_bpe.encode(none).count() == 0 and op3_bpe.encode(odd).count() == 18
 
 
+def test_pieces_of_one_hash(words, monkeypatch):
+    texts = [b"the cat sat", b"", b"a dog and the the cat", b"sat  on Thingeronat mats"]
+    want_ids, want_at = words.encode_texts(texts)
+    words.forget()
+    monkeypatch.setattr(Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64))  # as good as its length
+    for some in (texts[:1], texts, [b"dog"], [b"dot"], [b"antidisestablishment"], [b"antidisestablishmenu"]):
+        ids, at = words.encode_texts(some)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[i for w in t.split() for i in words.encode_pieces([w.decode()])[0]] for t in some]
+    ids, at = words.encode_texts(texts)
+    assert ids.tolist() == want_ids.tolist() and at.tolist() == want_at.tolist()
+    words.forget()
+
+
 def test_merges(words):
     r = random.Random(4)
     many = ["".join(r.choice("thaeingor") for _ in range(r.randint(1, 40))).encode() for _ in range(500)]
