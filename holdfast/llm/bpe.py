@@ -24,8 +24,9 @@ _BITS, _FREE, _SPREAD = 18, -1, 0x9E3779B1
 WIDE = 24
 #: Beyond so many parts a heap finds the smallest rank.
 SHORT = 200
-#: What one worker remembers: pre-tokens, pieces between white space, and bytes of those.
-WORDS_KEPT, PIECES_KEPT, BYTES_KEPT = 300_000, 2_000_000, 50_000_000
+#: What one worker remembers: pre-tokens (some 350 bytes each), pieces between white space (32), and bytes of those. It stays in
+#: memory between tasks, beside what other stages need there.
+WORDS_KEPT, PIECES_KEPT, BYTES_KEPT = 100_000, 400_000, 10_000_000
 
 
 def _byte_chars() -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,6 +81,14 @@ def spread_join(large: DataFrame, small: DataFrame, key: str, spread_by: str, ho
     return many.join(copies, [key, "_part"], how).drop("_part")
 
 
+def give_back() -> None:
+    """Return to the system what the allocators of this process hold free: a Python worker outlives its task, beside those of other
+    stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def passes(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PASS_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text (one row at least), with the texts as UTF-8; null counts as empty."""
     for batch in batches:
@@ -93,3 +102,5 @@ def passes(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
                 end += 1
             yield batch.slice(at, end - at), texts
             at = end
+        batch = column = texts = None
+        give_back()

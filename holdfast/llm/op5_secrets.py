@@ -34,6 +34,8 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Documents that the field is fitted on, by hash of their id; tokens before (and, twice as many, behind) a training example's centre.
 SAMPLE_DOCS, AROUND = 1000, 5
 REDACTED = "[SECRET]"
+#: Bytes of text that are tagged at once: a token has some 300 bytes of features and scores.
+SCAN_BYTES = 500_000
 
 _CLASS = np.full(256, 2, np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -365,7 +367,7 @@ def _finder(field: Field):
     said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in passes(batches):
+        for batch, texts in passes(batches, limit=SCAN_BYTES):
             found = [in_points(t, s) for t, s in zip(texts, scan(texts, field))]
             counts = [pa.array([sum(k == kind for _, _, k in s) for s in found], pa.int64()) for kind in range(3)]
             base = [hashlib.sha256(said([x for x in s if x[2] < 3]).encode()).hexdigest() for s in found]
@@ -403,7 +405,7 @@ def redact_text(text: bytes, spans: list[tuple[int, int, int]]) -> str:
 
 def _redacter(field: Field):
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in passes(batches):
+        for batch, texts in passes(batches, limit=SCAN_BYTES):
             spans = scan(texts, field)
             given = batch.column("text").to_pylist()
             said = [redact_text(t, s) if s else g for t, s, g in zip(texts, spans, given)]

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 import zlib
 
 import duckdb
@@ -231,6 +232,20 @@ def test_bpe_like_the_library(spark, odd, small, none):
     assert op3_bpe.encode(none).count() == 0 and op3_bpe.encode(odd).count() == 18
 
 
+def test_what_a_worker_remembers_is_bounded():
+    """Of many distinct words: their ids are those of a fresh vocabulary, and what stays in memory is less than 64 MB."""
+    v, most = Vocabulary(open(default_path()).read()), 0
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    for k in range(5):
+        texts = [" ".join(f"{(k * 50_000 + i) * 2_654_435_761 % 2**32:08x}".translate(letters) for i in range(50_000)).encode()]
+        ids, at = v.encode_texts(texts)
+        arrays = sum(x.nbytes for x in (v.keys, v.slots, v.flat, v.at, v.bytes, v.bytes_at))
+        most = max(most, arrays + sys.getsizeof(v.words) + sum(sys.getsizeof(w) + sys.getsizeof(t) + 32 * len(t) for w, t in v.words.items()))
+    assert most < 64_000_000, most
+    want, want_at = Vocabulary(open(default_path()).read()).encode_texts(texts)
+    assert ids.tolist() == want.tolist() and at.tolist() == want_at.tolist()
+
+
 def test_pieces_of_one_hash(words, monkeypatch):
     texts = [b"the cat sat", b"", b"a dog and the the cat", b"sat  on Thingeronat mats"]
     want_ids, want_at = words.encode_texts(texts)
