@@ -26,7 +26,7 @@ WIDE = 24
 SHORT = 200
 #: What one worker remembers: pre-tokens (some 350 bytes each), pieces between white space (32), and bytes of those. It stays in
 #: memory between tasks, beside what other stages need there.
-WORDS_KEPT, PIECES_KEPT, BYTES_KEPT = 100_000, 400_000, 10_000_000
+WORDS_KEPT, PIECES_KEPT, BYTES_KEPT = 150_000, 800_000, 20_000_000
 
 
 def _byte_chars() -> list[str]:
