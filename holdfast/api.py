@@ -1,7 +1,7 @@
 """All public names of the experiment engine in one place."""
 
 from holdfast.functions import derive_seeds, digitize, route, sigmoid
-from holdfast.operators.checks import audit_split, check_degenerate_columns, check_exact_duplicates, check_split, column_profile, fingerprint_check, label_conflicts, near_duplicate_pairs, rare_classes
+from holdfast.operators.checks import audit_split, check_degenerate_columns, check_exact_duplicates, check_split, column_profile, fingerprint_check, label_conflicts, near_duplicate_pairs, near_label_conflicts, rare_classes
 from holdfast.operators.dedup import apply_dedup, dedup_average, dedup_exact, dedup_keep_first, duplicate_pairs
 from holdfast.operators.ensembles import ensemble_predict, ensemble_train, fit_ensemble, predict_ensemble, predict_nl, train_nl
 from holdfast.operators.hint import augment, build_indicators, oof_splits

@@ -6,7 +6,7 @@ import math
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import nan_to_null
@@ -16,6 +16,8 @@ from holdfast.spec import DataError, DatasetSpec
 
 #: Centroids of a block that test rows are compared with.
 CENTROIDS = 256
+#: Ids in a list of rows with equal features.
+MEMBERS = 256
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -45,36 +47,84 @@ def check_exact_duplicates(df: DataFrame, spec: DatasetSpec, bits: bool = True)
         raise DataError(f"{n} duplicate rows: {shown}" + (f" and {n - 5} more" if n > 5 else ""))
 
 
+def _directions(d: int) -> list[list[float]]:
+    """One fixed unit vector, or two at right angles if d is over 1."""
+    roots = [math.sqrt(p) % 1 + 0.5 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)]
+    u = [roots[i % 16] * (1 + i // 16) for i in range(d)]
+    norm = math.sqrt(sum(w * w for w in u))
+    out = [[w / norm for w in u]]
+    if d > 1:
+        v = [roots[(5 * i + 3) % 16] * (-1) ** i for i in range(d)]
+        along = sum(p * q for p, q in zip(out[0], v))
+        v = [q - along * p for p, q in zip(out[0], v)]
+        norm = math.sqrt(sum(w * w for w in v))
+        out.append([w / norm for w in v])
+    return out
+
+
+def _near(df: DataFrame, spec: DatasetSpec, tol: float, y: str | None = None, differ: bool = False) -> DataFrame:
+    """Rows (id_a, id_b, distance) or, with y, (id_a, id_b, distance, y_a, y_b). differ: only pairs whose y differ."""
+    d = len(spec.features)
+    xs = [F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(spec.features)]
+    keys = [f"x{i}" for i in range(d)] + (["y"] if y else [])
+    rows = df.select(F.struct(*spec.id_cols).alias("id"), *xs, *([F.col(y).alias("y")] if y else []))
+    points = rows.groupBy(*keys).agg(F.collect_list("id").alias("ids"))
+    part = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / MEMBERS).cast("int")), lambda i: F.slice("ids", i * MEMBERS + 1, MEMBERS))
+    points = points.select(*keys, F.posexplode(part).alias("part", "ids"))
+    width = tol * 1.01 if tol > 0 else 1e-12
+    cell = lambda u: F.floor(F.greatest(F.least(sum(F.col(f"x{i}") * w for i, w in enumerate(u)) / width, F.lit(4e18)), F.lit(-4e18)))  # noqa: E731  within a long
+    cells = [cell(u) for u in _directions(d)]
+    near = [(0,), (1,)] if d == 1 else [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # one of two opposite neighbours, so no pair comes twice
+    visits = F.explode(F.array(*[F.struct(*[(c + step).alias(f"c{j}") for j, (c, step) in enumerate(zip(cells, steps))], F.lit(i == 0).alias("own")) for i, steps in enumerate(near)]))
+    me = F.struct(*keys, "part")
+    side = lambda s: [me.alias(f"p{s}"), F.col("ids").alias(f"ids{s}"), *[F.col(f"x{i}").alias(f"x{i}{s}") for i in range(d)], *([F.col("y").alias(f"y{s}")] if y else [])]
+    a = points.select(*side("a"), visits.alias("v")).select("*", "v.*").drop("v")
+    b = points.select(*side("b"), *[c.alias(f"c{j}") for j, c in enumerate(cells)])
+    far = F.sqrt(sum((F.col(f"x{i}a") - F.col(f"x{i}b")) * (F.col(f"x{i}a") - F.col(f"x{i}b")) for i in range(d)))
+    met = a.join(b, [f"c{j}" for j in range(len(cells))]).where((~F.col("own")) | (F.col("pa") <= F.col("pb"))).withColumn("distance", far).where(F.col("distance") <= tol)
+    if differ:
+        met = met.where(_differ(df, y, "ya", "yb"))
+    told = ["ya", "yb"] if y else []
+    met = met.select("idsa", "idsb", "distance", (F.col("own") & (F.col("pa") == F.col("pb"))).alias("same"), *told)
+    met = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few of them may hold most of the pairs
+    each = met.select("*", F.posexplode("idsa").alias("ia", "ida")).drop("idsa").select("*", F.posexplode("idsb").alias("ib", "idb")).drop("idsb")
+    each = each.where((~F.col("same") | (F.col("ia") < F.col("ib"))) & (F.col("ida") != F.col("idb")))
+    first = F.col("ida") < F.col("idb")
+    turned = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
+    ends = [turned("ida", "idb", "id_a"), turned("idb", "ida", "id_b"), F.col("distance")]
+    return each.select(*ends, *([turned("ya", "yb", "y_a"), turned("yb", "ya", "y_b")] if y else []))
+
+
 def near_duplicate_pairs(df: DataFrame, spec: DatasetSpec, tol: float = 1e-8) -> DataFrame:
     """Rows (id_a, id_b, distance) of rows within L2 distance tol, the smaller id first. Missing values count as 0.
 
-    Rows are projected on a fixed unit vector, which never lengthens a distance: a pair within tol lies in one bucket of
-    width just over tol or in two adjacent ones. One side alone visits the neighbours, so no pair comes twice. Rows with
-    equal features are one point of the join; remove copies first, as the blocking check asks.
+    Rows with equal features are one point, in lists of MEMBERS ids at most. Points are projected on one or two fixed unit
+    vectors at right angles, which never lengthens a distance: a pair within tol lies in one cell of width just over tol or
+    in two that touch. Lists whose points are near are dealt evenly before their ids are paired, so the work grows with the
+    points and with the pairs that come out, which equal rows alone make quadratic.
     """
-    d = len(spec.features)
-    weights = [math.sqrt(p) % 1 + 0.5 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)]
-    weights = [weights[i % 16] * (1 + i // 16) for i in range(d)]
-    norm = math.sqrt(sum(w * w for w in weights))
-    xs = [F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(0.0)) for c in spec.features]
-    line = sum(x * (w / norm) for x, w in zip(xs, weights))
-    width = tol * (1 + 1e-6) if tol > 0 else 1e-12
-    bucket = F.floor(line / width)
-    rows = df.select(F.struct(*spec.id_cols).alias("id"), F.array(*xs).alias("x"), bucket.alias("b"))
-    a = rows.select(F.col("id").alias("id_a"), F.col("x").alias("xa"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    b = rows.select(F.col("id").alias("id_b"), F.col("x").alias("xb"), "b")
-    far = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    return a.join(b, "b").where("id_a < id_b").withColumn("distance", far).where(F.col("distance") <= tol).select("id_a", "id_b", "distance")
+    return _near(df, spec, tol)
+
+
+def near_label_conflicts(df: DataFrame, spec: DatasetSpec, tol: float = 1e-8) -> DataFrame:
+    """label_conflicts() of near_duplicate_pairs(), rows (id_a, id_b, distance, y_a, y_b). Targets stay with the points, so pairs
+    aren't joined with the rows, and those of equal targets aren't made."""
+    return _near(df, spec, tol, spec.target, differ=True)
+
+
+def _differ(df: DataFrame, target: str, a: str, b: str) -> Column:
+    """Missing differs from everything, itself included."""
+    missing = F.col(a).isNull() | F.col(b).isNull()
+    if df.schema[target].dataType.typeName() in ("double", "float"):
+        missing = missing | F.isnan(a) | F.isnan(b)
+    return missing | (F.col(a) != F.col(b))
 
 
 def label_conflicts(pairs: DataFrame, df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Of near-duplicate pairs, those whose targets differ; missing differs from everything, itself included."""
     y = df.select(F.struct(*spec.id_cols).alias("id"), F.col(spec.target).alias("y"))
     both = pairs.join(y.withColumnsRenamed({"id": "id_a", "y": "y_a"}), "id_a").join(y.withColumnsRenamed({"id": "id_b", "y": "y_b"}), "id_b")
-    missing = F.col("y_a").isNull() | F.col("y_b").isNull()
-    if df.schema[spec.target].dataType.typeName() in ("double", "float"):
-        missing = missing | F.isnan("y_a") | F.isnan("y_b")
-    return both.where(missing | (F.col("y_a") != F.col("y_b")))
+    return both.where(_differ(df, spec.target, "y_a", "y_b"))
 
 
 def warn_pairs(pairs: DataFrame, what: str) -> int:

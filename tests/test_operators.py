@@ -77,6 +77,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if np.linalg.norm(x[i] - x[j]) <= 0.15} and got
 
 
+def test_near_conflicts_with_copies(spark, monkeypatch):
+    """Copies, missing values and targets, values beyond a long's cells; lists of ids of any length."""
+    rng = np.random.RandomState(2)
+    x = [[1e300, 0.0], [1e300, 0.0], [float("inf"), 0.0], [None, 0.1], *np.repeat(rng.rand(40, 2), 5, axis=0).tolist()]
+    y = [None if i % 50 == 7 else float("nan") if i % 50 == 9 else float(i % 3) for i in range(len(x))]
+    df = spark.createDataFrame([(i * 7919 % 1009, *v, t) for i, (v, t) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    spec, rows = DatasetSpec("id", ("a", "b"), "y"), sorted(tuple(r) for r in df.collect())
+    far = lambda p, q: float(np.hypot(*[(u or 0.0) - (v or 0.0) for u, v in zip(p[1:3], q[1:3])]))
+    with np.errstate(invalid="ignore"):
+        near = [(p, q) for i, p in enumerate(rows) for q in rows[i + 1 :] if far(p, q) <= 0.1]
+    want, apart = [(p[0], q[0]) for p, q in near], [(p[0], q[0]) for p, q in near if p[3] is None or p[3] != q[3]]
+    monkeypatch.setattr(checks, "MEMBERS", 2)
+    pairs = checks.near_duplicate_pairs(df, spec, 0.1)
+    ids = lambda found: sorted((r["id_a"]["id"], r["id_b"]["id"]) for r in found.collect())
+    assert ids(pairs) == want and len(apart) < len(want)
+    assert ids(checks.label_conflicts(pairs, df, spec)) == ids(checks.near_label_conflicts(df, spec, 0.1)) == apart
+    at = {r[0]: r[3] for r in rows}
+    assert all(repr(r["y_a"]) == repr(at[r["id_a"]["id"]]) and repr(r["y_b"]) == repr(at[r["id_b"]["id"]]) for r in checks.near_label_conflicts(df, spec, 0.1).collect())
+
+
+def test_near_conflicts_of_one_large_point(spark):
+    """Pairs of equal targets aren't made: these would be 2e10."""
+    df = spark.range(200_000).select("id", F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), (F.col("id") == 77).cast("int").alias("y"))
+    assert checks.near_label_conflicts(df, DatasetSpec("id", ("a", "b"), "y"), 0.5).count() == 199_999
+
+
 def test_fingerprint(spark):
     few = spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(10)], "id long, x double, g string")
     assert checks.fingerprint_check(few, DatasetSpec("id", "x", group="g")).first()["risk"] == "skip"
