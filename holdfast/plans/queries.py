@@ -120,8 +120,7 @@ def near_dup_pairs(spark, d):
 
 @query("label_conflicts", f"SELECT a, b, y_a, y_b FROM ({_NEAR}) WHERE far <= 0.5 AND y_a <> y_b")
 def label_conflicts(spark, d):
-    df = load(spark, d, "part")
-    found = checks.label_conflicts(checks.near_duplicate_pairs(df, PARTS, 0.5), df, PARTS)
+    found = checks.near_label_conflicts(load(spark, d, "part"), PARTS, 0.5)
     return found.select(F.col("id_a.p_partkey").alias("a"), F.col("id_b.p_partkey").alias("b"), "y_a", "y_b")
 
 
