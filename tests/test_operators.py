@@ -286,6 +286,21 @@ def test_network_of_many_rows(planted, monkeypatch):
     assert want.keys() == got.keys() and all(np.allclose(a, b) for k in want for a, b in zip(want[k], got[k]))
 
 
+def test_network_steps_take_few_tasks(planted):
+    """However many partitions the rows have, a step's tasks are as many as the cores; the dealing changes nothing."""
+    sc, rows, n = planted.sparkSession.sparkContext, planted.repartition(40, "id"), planted.count()
+    sc.setJobGroup("steps", "steps of a network")
+    try:
+        first, second = (nn.train_spread(rows, ["x1", "x2"], "y", [NetConfig(hidden_sizes=(3,), epochs=6, seed=s) for s in (1, 2)], n) for _ in range(2))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    results = [max(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("steps")]
+    wide = sum(tracker.getStageInfo(s).numTasks > sc.defaultParallelism for s in results)
+    assert len(results) >= 12 and wide <= 2  # once a training, to keep the rows
+    assert all(np.array_equal(a, b) for one, two in zip(first, second) for a, b in zip(one, two))
+
+
 def test_columns_of_any_name_pass(spark):
     df = spark.range(20).select("id", *[F.lit(7).alias(c) for c in ("rank", "_bucket", "_count", "_g", "stratum", "_m", "_x", "hash")], (F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("y"))
     for out, more in ((splits.kfold(df, ["id"], 4, 1), ["fold"]), (splits.grouped_kfold(df, "g", 2, 1), ["fold"]), (splits.contiguous_folds(df, ["id"], 4), ["fold"]), (splits.sanctified(df, ["id"], 0.3, 1, stratify="g"), ["split"]), (splits.temporal_split(df, ["id"], 0.3), ["split"])):
