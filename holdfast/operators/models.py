@@ -15,7 +15,7 @@ from holdfast.functions import route
 from holdfast.operators.metrics import scores
 from holdfast.operators.nn import NetConfig, predict_networks, train_many
 from holdfast.operators.preprocess import compute_norm_stats, normalize
-from holdfast.operators.ridge import ridge_predict, ridge_solve
+from holdfast.operators.ridge import predict_by, ridge_out_of_fold, ridge_predict, ridge_solve
 from holdfast.operators.splits import contiguous_folds
 
 
@@ -35,6 +35,17 @@ class Model(ABC):
         new.features = None
         return new
 
+    def predict_out_of_fold(self, folded: DataFrame, k: int, features: Sequence[str], y: str, order: Sequence[str], name: str = "pred") -> DataFrame:
+        """The rows of k folds (a column fold), each predicted by a clone fitted to the other folds."""
+        parts = []
+        for i in range(k):
+            m = self.clone().fit(folded.where(F.col("fold") != i), features, y, order)
+            parts.append(m.predict(folded.where(F.col("fold") == i), name))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows
+
     def analyze(self) -> dict:
         self.check_fitted()
         return {}
@@ -64,6 +75,10 @@ class RidgeModel(Model):
         self.check_fitted()
         return ridge_predict(df, self.features, self.weights, name)
 
+    def predict_out_of_fold(self, folded, k, features, y, order, name="pred"):
+        """One pass for all folds, and one plan for all rows."""
+        return predict_by(folded, features, ridge_out_of_fold(folded, features, y, self.alpha), "fold", name)
+
     def analyze(self):
         self.check_fitted()
         return {"weights": dict(zip(self.features, self.weights[:-1].tolist())), "bias": float(self.weights[-1])}
@@ -169,13 +184,7 @@ class StackedModel(Model):
         self.one = self.first.clone().fit(df, features, y, order)
         if self.oof_folds:
             folded = contiguous_folds(df, order, self.oof_folds)
-            parts = []
-            for i in range(self.oof_folds):
-                m = self.first.clone().fit(folded.where(F.col("fold") != i), features, y, order)
-                parts.append(m.predict(folded.where(F.col("fold") == i), "_first"))
-            rows = parts[0]
-            for p in parts[1:]:
-                rows = rows.unionByName(p)
+            rows = self.first.predict_out_of_fold(folded, self.oof_folds, features, y, order, "_first")
         else:
             rows = self.one.predict(df, "_first")
         rows, cols = self._augmented(rows, features, "_first")

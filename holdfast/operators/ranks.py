@@ -6,7 +6,7 @@ bucket. A bucket table has BUCKETS rows (for each partition value) whatever the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,51 @@ def hash_ranked(df: DataFrame, id_cols: Sequence[str], seed: int, name: str = "r
     return _numbered(df, F.substring(_HASH, 1, HEX), [F.col(_HASH), *[F.col(c) for c in id_cols]], name, within).drop(_HASH)
 
 
-def ordered(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """Add the 0-based rank in the order of some columns (nulls first); the first one must be a number or a time."""
+def _cut(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add the number (_BUCKET) of the stretch of about n / QUANTILES rows that a row lies in, -1 where the first column is null."""
     kind = df.schema[order[0]].dataType.typeName()
     x = F.unix_micros(F.col(order[0]).cast("timestamp")) if "timestamp" in kind or kind == "date" else F.col(order[0])
     rows = df.withColumn(_X, x)
     cuts = rows.agg(F.percentile_approx(_X, [i / QUANTILES for i in range(1, QUANTILES)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    bucket = F.when(F.col(_X).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(_X))) if cuts else F.lit(0))
-    return _numbered(rows, bucket, [F.col(c) for c in order], name, ()).drop(_X)
+    cuts = sorted(set(cuts or []), key=lambda c: (c != c, c))  # NaN last
+    steps = [2**i for i in reversed(range(len(cuts).bit_length()))]
+    below = lambda at, step: at + F.when(F.get(F.lit(cuts), at + step - 1) <= F.col(_X), step).otherwise(0)  # noqa: E731  a binary search
+    return rows.withColumn(_BUCKET, F.when(F.col(_X).isNull(), F.lit(-1)).otherwise(F.aggregate(F.lit(steps), F.lit(0), below) if cuts else F.lit(0))).drop(_X)
+
+
+def ordered(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Add the 0-based rank in the order of some columns (nulls first); the first one must be a number or a time."""
+    rows = _cut(df, order)
+    return _numbered(rows.withColumnRenamed(_BUCKET, _X), F.col(_X), [F.col(c) for c in order], name, ()).drop(_X)
+
+
+def sliced(df: DataFrame, order: Sequence[str], places: Callable[[int], Sequence[int]], name: str) -> DataFrame:
+    """Add how many of some ranks, places(number of rows), are at most a row's rank in ordered().
+
+    Only the buckets in which such a rank lies are sorted, to find the row there; all rows are compared with that one. If it is
+    tied with the row before, or can't be a literal, rows are numbered instead.
+    """
+    kinds = {c: df.schema[c].dataType for c in order}
+    rows = _cut(df.select(*dict.fromkeys(order)), order)
+    ends, n = {}, 0
+    for r in sorted(rows.groupBy(_BUCKET).count().collect()):
+        ends[r[0]] = (n, n := n + r[1])
+    at = sorted(places(n))
+    need = {p - i for p in at for i in (0, 1) if 0 <= p - i < n}
+    inside = {b: first for b, (first, last) in ends.items() if any(first <= p < last for p in need)}
+    if all(t.typeName() in ("byte", "short", "integer", "long", "float", "double", "string", "date") or t.typeName().startswith("decimal") for t in kinds.values()):
+        first = F.lit(None).cast("long")
+        for bucket, k in inside.items():
+            first = F.when(F.col(_BUCKET) == bucket, F.lit(k)).otherwise(first)
+        numbered = rows.where(F.col(_BUCKET).isin(list(inside))).withColumn(_POS, first + F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*order)) - 1)
+        key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+        met = numbered.where(F.col(_POS).isin(list(need))).select(_POS, key.alias("key")).collect()
+        keys = {r[_POS]: tuple(r["key"]) for r in met}
+        if all(p <= 0 or p >= n or keys[p] != keys[p - 1] for p in at) and not any(v != v for key in keys.values() for v in key):
+            passed = [F.lit(1 if p <= 0 else 0) if p <= 0 or p >= n else (key >= F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(keys[p], kinds.values()))])).cast("int") for p in at]
+            return df.withColumn(name, sum(passed, F.lit(0)))
+    rank = F.col(_POS)
+    return ordered(df, order, _POS).withColumn(name, sum(((rank >= p).cast("int") for p in at), F.lit(0))).drop(_POS)
 
 
 def permuted(df: DataFrame, order: Sequence[str], seed: int, name: str = "rank", within: str | None = None, sort: str | None = None) -> DataFrame:

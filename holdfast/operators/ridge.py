@@ -31,7 +31,17 @@ def solve(row, d: int, alpha: float) -> np.ndarray:
 
 
 def ridge_solve(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> np.ndarray:
-    return solve(df.agg(*gram_columns(features, y)).first(), len(features), alpha)
+    """From centred sums, which don't cancel where a feature varies little about a large mean; from plain ones if values are missing."""
+    d = len(features)
+    xs = [F.col(c).cast("double") for c in [*features, y]]
+    centred = [F.covar_pop(xs[i], xs[j]).alias(f"v_{i}_{j}") for i in range(d) for j in range(i, d + 1)]
+    row = df.agg(*gram_columns(features, y), *centred, *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)], *[F.count(x).alias(f"n_{i}") for i, x in enumerate(xs)]).first()
+    n = row[f"g_{d}_{d}"]
+    if not n or any(row[f"n_{i}"] != n for i in range(d + 1)):
+        return solve(row, d, alpha)
+    g = np.array([[row[f"v_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) * n + alpha * np.eye(d)
+    w = np.linalg.solve(g, np.array([row[f"v_{i}_{d}"] for i in range(d)]) * n)
+    return np.append(w, row[f"m_{d}"] - sum(w[i] * row[f"m_{i}"] for i in range(d)))
 
 
 def ridge_out_of_fold(folded: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> dict[int, np.ndarray]:

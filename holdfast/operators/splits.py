@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import digitize, fresh
-from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles
+from holdfast.operators.ranks import hash_ranked, ordered, permuted, quantiles, sliced
 from holdfast.spec import DataError
 
 RANK, _STRATUM, _G, _HELD, _M, _S = (fresh(n) for n in ("rank", "stratum", "group", "held", "size", "stratum"))
@@ -44,7 +44,13 @@ def grouped_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, compat_
 
 def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 5) -> DataFrame:
     """The rows with a column fold: stretches in the order of the given columns, unshuffled."""
-    return ordered(df, order, RANK).withColumn("fold", _slices(df.count(), k)).drop(RANK)
+
+    def starts(n: int) -> list[int]:
+        if k < 2 or k > n:
+            raise DataError(f"k={k} folds of {n} rows or groups")
+        return [i * (n // k) for i in range(1, k)]
+
+    return sliced(df, order, starts, "fold")
 
 
 def train_test(df: DataFrame, id_cols: Sequence[str], test_fraction: float = 0.2, seed: int = 42, compat_rng: bool = False) -> DataFrame:

@@ -301,6 +301,39 @@ def test_network_steps_take_few_tasks(planted):
     assert all(np.array_equal(a, b) for one, two in zip(first, second) for a, b in zip(one, two))
 
 
+def test_folds_sort_few_rows(spark):
+    """contiguous_folds() numbers no row outside the stretches of its cuts; ties, nulls and other types are numbered as before."""
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("id"), F.lit("x").alias("s"), F.timestamp_seconds("id").alias("t"))
+    for order in (["id"], ["id", "s"], ["t"]):
+        got = splits.contiguous_folds(df, order, 7)
+        assert got.schema["fold"].dataType.typeName() == "integer"
+        assert ("Window" in got._jdf.queryExecution().toString()) == (order == ["t"])
+        want = {r["id"]: min(i // (5000 // 7), 6) for i, r in enumerate(df.orderBy(*order).select("id").collect())}
+        assert {r["id"]: r["fold"] for r in got.collect()} == want
+    same = spark.range(100).select("id", F.when(F.col("id") > 4, F.col("id") % 2).alias("k"))
+    assert sorted(r["count"] for r in splits.contiguous_folds(same, ["k"], 3).groupBy("fold").count().collect()) == [33, 33, 34]
+
+
+def test_ridge_about_a_large_mean(spark):
+    """Weights are exact to ten digits where plain sums of squares lose most of them."""
+    rng = np.random.RandomState(3)
+    x = 2.5e7 + rng.rand(4000)
+    y = 3.0 * x + rng.rand(4000)
+    got = ridge.ridge_solve(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), ["x"], "y", 1.0)
+    dx, dy = x - x.mean(), y - y.mean()
+    assert np.isclose(got[0], dx @ dy / (dx @ dx + 1.0), rtol=1e-8)
+
+
+def test_ridge_out_of_fold_in_one_plan(planted):
+    """The rows are read once, and the predictions are those of fold by fold fits."""
+    folded, cols = splits.contiguous_folds(planted, ["id"], 3), ["x1", "x2"]
+    got = {r["id"]: r["p"] for r in RidgeModel().predict_out_of_fold(folded, 3, cols, "y", ["id"], "p").collect()}
+    assert "Union" not in RidgeModel().predict_out_of_fold(folded, 3, cols, "y", ["id"], "p")._jdf.queryExecution().toString()
+    for i in range(3):
+        m = RidgeModel().fit(folded.where(F.col("fold") != i), cols, "y", ["id"])
+        assert all(np.isclose(got[r["id"]], r["q"]) for r in m.predict(folded.where(F.col("fold") == i), "q").collect())
+
+
 def test_columns_of_any_name_pass(spark):
     df = spark.range(20).select("id", *[F.lit(7).alias(c) for c in ("rank", "_bucket", "_count", "_g", "stratum", "_m", "_x", "hash")], (F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("y"))
     for out, more in ((splits.kfold(df, ["id"], 4, 1), ["fold"]), (splits.grouped_kfold(df, "g", 2, 1), ["fold"]), (splits.contiguous_folds(df, ["id"], 4), ["fold"]), (splits.sanctified(df, ["id"], 0.3, 1, stratify="g"), ["split"]), (splits.temporal_split(df, ["id"], 0.3), ["split"])):
